@@ -8,8 +8,14 @@ from importlib import import_module
 #: Query: (module of this package, function, name of its oracle in the module).
 _WHERE = {
     "op1_mixing": ("mixing", "op1_mixing", "ORACLE"),
+    "op2_media_gif": ("media_gif", "op2_media_gif", None),
+    "op3_language_id": ("language_id", "op3_language_id", None),
+    "op4_license_scan": ("license_scan", "op4_license_scan", None),
+    "op6_jaccard_join": ("jaccard_join", "op6_jaccard_join", None),
     "op7_warc": ("warc", "op7_warc", "ORACLE"),
+    "op8_packing": ("packing", "op8_packing", None),
     "op9_url_filter": ("url_filter", "op9_url_filter", "ORACLE"),
+    "op10_html_extract": ("html_extract", "op10_html_extract", None),
 }
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from ._shared import stored
 
 #: The contract's rules: (verdict, host, path).
@@ -112,7 +113,7 @@ def url_verdicts(urls: DataFrame, id_col: str, url_col: str, listed: DataFrame,
     and extra columns of any name stay rows of their own; empty tables give no rows; an empty or null listing entry
     is ignored.
     """
-    spark = urls.sparkSession
+    spark = ship(urls.sparkSession)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     parsed = urls.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parsed = stored(parsed.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("_row", F.monotonically_increasing_id()), "url-parsed")
