@@ -1,12 +1,13 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and the folder that they share with the driver."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,3 +23,22 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         ship.done = context.applicationId
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = getattr(shared_dir, "own", None)
+        if found is None:
+            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lexivault-shared-")
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs
+    no recomputation of what stands above."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
