@@ -29,7 +29,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_PART = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
 #: Elements whose content is no markup.
@@ -41,6 +41,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("nav header footer aside form menu dialog button select option head template svg canvas object audio video".split())
 #: Words of class, id or role that mark such parts.
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies reply complementary contentinfo".split())
+#: Beside one of these a hint tells of the page's layout, not of the element: ``has-sidebar``.
+NO_HINT = frozenset("has with no without".split())
 #: An open element on the left ends where one on the right begins.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -152,8 +154,10 @@ def blocks(page: str) -> list[Block]:
 def _hinted(attributes: str) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key = key.lower()
-        if key in ("class", "id", "role") and not HINTS.isdisjoint(_PART.findall(value.lower())):
-            return True
+        if key in ("class", "id", "role"):
+            parts = {p.lower() for p in _PART.findall(value)}
+            if not HINTS.isdisjoint(parts) and NO_HINT.isdisjoint(parts):
+                return True
         if key == "hidden":
             return True
     return False
