@@ -11,6 +11,7 @@ _WHERE = {
     "op2_media_gif": ("media_gif", "op2_media_gif", None),
     "op3_language_id": ("language_id", "op3_language_id", None),
     "op4_license_scan": ("license_scan", "op4_license_scan", None),
+    "op5_embedding_dedup": ("embedding_dedup", "op5_embedding_dedup", "ORACLE"),
     "op6_jaccard_join": ("jaccard_join", "op6_jaccard_join", None),
     "op7_warc": ("warc", "op7_warc", "ORACLE"),
     "op8_packing": ("packing", "op8_packing", None),
