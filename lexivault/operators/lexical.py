@@ -77,19 +77,28 @@ def _count(phrase: Phrase, node: Node | None = None) -> Column:
     return total.cast("long")
 
 
-def _plan(node: Node, counts: list[tuple[Phrase, Node | None]]) -> Column:
-    """The match of a tree over the count columns ``_n0, _n1, ...``, which it appends to."""
+def _plan(node: Node, counts: list[tuple[Phrase, Node | None]], whole: list[Column]) -> Column:
+    """The match of a tree over the count columns ``_n0, _n1, ...``, which it appends to. ``whole`` gets for each phrase
+    whether every part of the tree around it matches: only then does it score."""
+    first = len(counts)
+    out = _match(node, counts, whole)
+    whole[first:] = [w & out for w in whole[first:]]
+    return out
+
+
+def _match(node: Node, counts: list[tuple[Phrase, Node | None]], whole: list[Column]) -> Column:
     if node.op in ("phrase", "near"):
         if not node.phrases:
             return F.lit(False)
         out = F.lit(True)
         for p in node.phrases:
             counts.append((p, node if node.op == "near" else None))
+            whole.append(F.lit(True))
             out = out & (F.col(f"_n{len(counts) - 1}") > 0)
         return out
     if node.op == "not":
-        return _plan(node.parts[0], counts) & ~_plan(node.parts[1], counts)
-    parts = [_plan(p, counts) for p in node.parts]
+        return _plan(node.parts[0], counts, whole) & ~_plan(node.parts[1], counts, whole)
+    parts = [_plan(p, counts, whole) for p in node.parts]
     return reduce(lambda a, b: a & b if node.op == "and" else a | b, parts)
 
 
@@ -102,15 +111,16 @@ def _negative(node: Node, inside: bool = False) -> list[bool]:
     return [x for p in node.parts for x in _negative(p, inside)]
 
 
-def counted(chunks: DataFrame, query: str) -> tuple[DataFrame, Column, list[int]]:
-    """``chunks`` with ``_dl`` and the count of each phrase, the match, and the numbers of the phrases that score."""
+def counted(chunks: DataFrame, query: str) -> tuple[DataFrame, Column, dict[int, Column]]:
+    """``chunks`` with ``_dl`` and the count of each phrase, the match, and the phrases that score with where they do."""
     tree = parse(query)
     counts: list[tuple[Phrase, Node | None]] = []
-    match = _plan(tree, counts)
+    whole: list[Column] = []
+    match = _plan(tree, counts, whole)
     base = chunks.select("*", *[tokens(F.col(c)).alias(f"_t_{c}") for c in COLUMNS])
     dl = reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c in COLUMNS]).cast("long")
     out = base.select(*chunks.columns, dl.alias("_dl"), *[_count(p, n).alias(f"_n{k}") for k, (p, n) in enumerate(counts)])
-    return out, match, [k for k, no in enumerate(_negative(tree)) if not no]
+    return out, match, {k: whole[k] for k, no in enumerate(_negative(tree)) if not no}
 
 
 def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFrame:
@@ -122,7 +132,7 @@ def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFram
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     stats = rows.agg(F.count("*").alias("_n"), (F.sum("_dl") / F.count("*")).alias("_avgdl"), *[F.sum((F.col(f"_n{k}") > 0).cast("long")).alias(f"_df{k}") for k in scoring])
     found = rows.where(match if where is None else match & where)
-    scored = found.select("id", "_dl", *[f"_n{k}" for k in scoring]).crossJoin(F.broadcast(stats))  # one row
+    scored = found.select("id", "_dl", *[F.when(where_, F.col(f"_n{k}")).otherwise(0).alias(f"_n{k}") for k, where_ in scoring.items()]).crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for k in scoring:
         raw = F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))

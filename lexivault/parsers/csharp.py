@@ -34,14 +34,15 @@ class _Scan:
             if code[at] in "};,)]":
                 at += 1
                 continue
-            k = at
+            k, assigned = at, False
             while k < end:
                 c = code[k]
+                assigned |= c == "=" and code[k + 1 : k + 2] not in ("=", ">") and code[k - 1] not in "=!<>"
                 if c == "{":
                     stop = closing(code, k, end) + 1
                     after = skip_space(code, stop, end)
                     # an initializer or a property's value goes on to its semicolon
-                    if "=" in re.sub(r"[=!<>]=|=>", "", code[at:k]) or after < end and (code[after] == "=" and code[after : after + 2] != "=="):
+                    if assigned or after < end and (code[after] == "=" and code[after : after + 2] != "=="):
                         k = stop
                         continue
                     yield at, k, stop, k

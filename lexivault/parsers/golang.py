@@ -20,6 +20,9 @@ def _end(code: str, at: int) -> int:
         if code[k] in "([{":
             k = closing(code, k) + 1
             continue
+        if code[k] == "`":
+            k = code.find("`", k + 1) + 1 or len(code)
+            continue
         if code[k] == "\n" and not re.search(r"[=,+\-*/|&<>:(\[{]\s*\Z", code[at:k]):
             return k
         k += 1

@@ -225,7 +225,7 @@ def flt_size_cap(spark, d):
 @query("flt_binary_probe", "SELECT doc_id FROM documents WHERE NOT contains(CASE WHEN doc_id % 7 = 0 THEN 'x' || repeat('y', doc_id) || '|' ELSE text END[1:8192], '|')")
 def flt_binary_probe(spark, d):
     text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), F.repeat(F.lit("y"), F.col("doc_id").cast("int")), F.lit("|"))).otherwise(F.col("text"))
-    content = F.encode(F.translate(F.substring(text, 1, 8192), "|", "\0"), "UTF-8")
+    content = F.encode(F.replace(F.substring(text, 1, 8192), F.lit("|"), F.lit("\0")), "UTF-8")
     return corpus.table(spark, d, "documents").where(~T.is_binary(content)).select("doc_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Lon
 
 
 def _schema(**fields) -> StructType:
-    kinds = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "vector": ArrayType(FloatType(), False)}
+    kinds = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "vector": ArrayType(FloatType())}
     return StructType([StructField(k, kinds[v.removesuffix("?")], v.endswith("?")) for k, v in fields.items()])
 
 

@@ -156,7 +156,7 @@ def read_files(spark: SparkSession, files: Sequence[Listed]) -> DataFrame:
         return spark.createDataFrame([], "path string, language string, mtime double, size long, project_order int, content string, decode_warning boolean")
     names = listing(spark, files)
     raw = spark.read.format("binaryFile").load([f.path.replace("\\", "\\\\").replace("{", "\\{").replace("[", "\\[").replace("*", "\\*").replace("?", "\\?") for f in files])
-    raw = raw.select(F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("file"), "content").where(~is_binary(F.col("content")))
+    raw = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content").where(~is_binary(F.col("content")))
     text = raw.select("file", decoded(F.col("content")).alias("content"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("decode_warning"))
     return names.join(text, "file").drop("file").select("path", "language", "mtime", "size", "project_order", "content", "decode_warning")
 

@@ -10,7 +10,8 @@ from ..operators import changes
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``window_start, event_type, n, total`` of a batch or a stream of events (``ts, event_type, value``)."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
     out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 

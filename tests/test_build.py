@@ -191,7 +191,7 @@ def test_command_line(spark, project, monkeypatch, capsys):
     assert {r["name"] for r in found} == {"greet"} and found[0]["path"] == "main.py"
     assert run(capsys, "search", "dropped session", "--lang", "python", "--k", "1")["results"][0]["path"] == "main.py"
     assert run(capsys, "search", "zzz", "--mode", "bm25") == {"results": []}
-    assert [(r["path"], r["name"]) for r in run(capsys, "symbols", "defs", "greet", "--exact")] == [("main.js", "greet"), ("main.py", "greet")]
+    assert [(r["path"], r["name"]) for r in run(capsys, "symbols", "defs", "greet", "--exact")] == [("main.fs", "greet"), ("main.js", "greet"), ("main.py", "greet")]
     assert run(capsys, "symbols", "refs", "llListen")[0]["path"] == "main.lsl"
     assert run(capsys, "graph", "callers", "fmt")[0]["dst_name"] == "fmt"
     assert run(capsys, "graph", "deps", "main.js") == [{"path": "main.js", "kind": "import", "dst_name": "b", "meta": '{"names": ["a"]}'}]
