@@ -1,35 +1,22 @@
-"""What the operators of this subpackage have in common: the shared folder, row keys and connected components."""
+"""What the operators of this subpackage have in common: stored tables and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The words of several contracts: maximal runs of anything but ASCII white space.
-NON_SPACE = r"[^\x20\x09-\x0D]"
-SPACE = r"[\x20\x09-\x0D]"
+from ..runtime import stored
 
+__all__ = ["connected_components", "release", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None)
-        if found is None:
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lexivault-shared-")
-    return found.rstrip("/")
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs
-    no recomputation of what stands above."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are stored. Spark drops them when the driver's garbage is
+    collected, which otherwise may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:

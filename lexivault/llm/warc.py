@@ -137,7 +137,7 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Writes the archive of ``pages`` to the shared folder, reads it back, and tells what stands there."""
     import uuid
 
-    from ._shared import shared_dir
+    from ..runtime import shared_dir
 
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
