@@ -16,16 +16,14 @@ from lexivault.llm.language_id import UNKNOWN, fit_language_model, identify
 from lexivault.llm.mixing import mix, word_count
 from lexivault.llm.packing import pack
 
-#: A text whose best language has a lower pooled probability is of none of them.
-LEAST_SCORE = 0.3
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those that no learned language fits. The others stay as they are."""
+    """Rejects documents of no language: null texts and those without a letter. The others stay as they are, short and mixed
+    ones too. Where nothing is labelled, no language is known, and only such documents go as well."""
     model = fit_language_model(docs.select("doc_id", "text", "lang"))
-    named = identify(docs, model, keep=tuple(docs.columns))
-    fits = F.lit(True) if model is None else F.col("score") >= LEAST_SCORE
-    return named.where((F.col("lang_pred") != UNKNOWN) & fits if model is not None else F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model, keep=tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
