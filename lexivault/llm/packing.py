@@ -3,8 +3,12 @@
 1. Every document is tokenized once; its ids are stored in the shared folder. The same pass counts, for every token id,
    the documents that have it, so the BM25 statistics (document frequencies, mean length) cover the whole corpus. Their
    size is that of the vocabulary.
-2. Documents are dealt to shards of about ``SHARD_TOKENS`` tokens by a hash. A shard is one task, whatever the corpus'
-   size, and holds an inverted index with BM25 impacts of its documents.
+2. Documents are dealt to shards of at most about ``SHARD_TOKENS`` tokens by their content: a tree over projections of
+   a sample's BM25 vectors has leaves of a few sampled documents, every document falls into one, and leaves that follow
+   one another in the tree's order make a shard. Only a leaf larger than a shard (a large group of copies, or of very
+   similar documents) is dealt to several by a hash. A shard is one task, whatever the corpus' size, and holds an
+   inverted index with BM25 impacts of its documents. A corpus of one shard is searched whole; beyond that a seed sees
+   the documents on its own side of the tree's cuts, and the README says what part of its true neighbours these hold.
 3. In a shard a seed opens a window. Its heaviest terms query the index, and unused neighbours fill the window, best
    first, those that fit whole before one that is cut. What is cut off opens the next window, so only a shard's last
    window is padded. A document longer than a window fills whole windows of its own and opens one with the rest.
@@ -33,6 +37,9 @@ SHARD_TOKENS = 4_000_000
 #: Tasks that the shards are dealt to at most; beyond that a task takes several, one after another.
 MOST_TASKS = 20_000
 K1, B = 1.2, 0.75
+#: Share of the documents, and documents at least, that the tree is grown on; documents of the sample in a leaf at most;
+#: dimensions of the projections and their step as bytes.
+SAMPLE, LEAST_SAMPLE, LEAF, DIMENSIONS, STEP = 0.01, 2000, 8, 64, 1 / 256
 #: Terms of a seed's query, and neighbours that a query returns at first.
 TERMS, NEIGHBOURS = 24, 32
 #: Entries of a tokenizer's word cache; two generations of half that.
@@ -139,12 +146,81 @@ def tokenizer(name: str) -> WordTokenizer:
     return _loaded[name]
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("df", pa.binary())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("df", pa.binary()), ("leaf", pa.int64())])
+
+
+class Projection:
+    """Documents' BM25 vectors of unit length in ``DIMENSIONS`` random directions, as bytes of ``STEP``."""
+
+    def __init__(self, idf: np.ndarray, mean: float):
+        self.idf, self.mean = idf, mean
+        self.axes = np.random.default_rng(8).standard_normal((len(idf), DIMENSIONS), dtype=np.float32) / np.float32(DIMENSIONS**0.5)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        token, tf = np.unique(ids, return_counts=True)
+        weight = (self.idf[token] * tf / (tf + K1 * (1 - B + B * len(ids) / self.mean))).astype(np.float32)
+        vector = weight @ self.axes[token]
+        return np.clip(np.rint(vector / (max(float(np.linalg.norm(weight)), 1e-9) * STEP)), -127, 127).astype(np.int8)
+
+
+class Tree:
+    """Cuts of a sample's projections, each where the values along the line between two means have their widest gap in
+    the middle half. ``leaves`` gives the number of the leaf that each projection falls into, in the tree's order."""
+
+    def __init__(self, sample: np.ndarray):
+        points = np.unique(sample, axis=0).astype(np.float32)  # copies count once, and rows' order doesn't count
+        self.line, self.cut, self.low, self.high = [], [], [], []
+        self.size = 0
+        # nodes are visited low side first, so leaves are numbered in the tree's order
+        todo = [(np.arange(len(points)), -1, 0)]
+        while todo:
+            rows, parent, side = todo.pop()
+            if len(rows) <= LEAF:
+                code, self.size = -1 - self.size, self.size + 1
+            else:
+                code = len(self.cut)
+                line = self._line(points[rows])
+                at = points[rows] @ line
+                order = np.argsort(at, kind="stable")
+                a, b = len(rows) // 4, 3 * len(rows) // 4
+                k = a + int(np.argmax(np.diff(at[order[a : b + 1]])))
+                self.line.append(line)
+                self.cut.append((at[order[k]] + at[order[k + 1]]) / 2)
+                self.low.append(0)
+                self.high.append(0)
+                todo += [(rows[order[k + 1 :]], code, 1), (rows[order[: k + 1]], code, 0)]
+            if parent >= 0:
+                (self.high if side else self.low)[parent] = code
+        self.line = np.array(self.line, dtype=np.float32).reshape(-1, sample.shape[1])
+        self.cut, self.low, self.high = np.array(self.cut, dtype=np.float32), np.array(self.low, dtype=np.int64), np.array(self.high, dtype=np.int64)
+
+    @staticmethod
+    def _line(points: np.ndarray) -> np.ndarray:
+        a = points[np.argmax(((points - points.mean(axis=0)) ** 2).sum(axis=1))]
+        b = points[np.argmax(((points - a) ** 2).sum(axis=1))]
+        for _ in range(4):
+            near = points @ (a - b) > (a @ a - b @ b) / 2
+            if near.all() or not near.any():
+                break
+            a, b = points[near].mean(axis=0), points[~near].mean(axis=0)
+        return a - b
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), dtype=np.int64) if len(self.cut) else np.full(len(vectors), -1)
+        vectors = vectors.astype(np.float32)
+        while len(inner := np.flatnonzero(node >= 0)):
+            at = node[inner]
+            node[inner] = np.where(np.einsum("ij,ij->i", vectors[inner], self.line[at]) > self.cut[at], self.high[at], self.low[at])
+        return -1 - node
+
+
+def _tokenize(name: str, held=None):
+    """``held``: a broadcast of idf, mean length and tree; without it all documents are in leaf 0."""
 
-
-def _tokenize(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(name)
+        idf, mean, tree = held.value if held is not None else (None, 1.0, None)
+        projection = Projection(idf, mean) if tree is not None else None
         end = np.array([END_ID], dtype=t.dtype).tobytes()
         df = np.zeros(t.size, dtype=np.int64)
         total = count = 0
@@ -158,22 +234,23 @@ def _tokenize(name: str):
                 while at + len(group) < len(ids) and chars < GROUP_CHARS:
                     group.append(texts[at + len(group)].as_py())
                     chars += len(group[-1])
-                for doc, text, coded in zip(ids[at : at + len(group)], group, t.encode(group)):
-                    coded += end
-                    own = np.frombuffer(coded, dtype=t.dtype)
+                codes = [coded + end for coded in t.encode(group)]
+                owns = [np.frombuffer(coded, dtype=t.dtype) for coded in codes]
+                leaf = [0] * len(group) if projection is None else tree.leaves(np.array([projection.of(own) for own in owns])).tolist()
+                for doc, coded, own, place in zip(ids[at : at + len(group)], codes, owns, leaf):
                     df[np.flatnonzero(np.bincount(own, minlength=0))] += 1
                     total += len(own)
                     count += 1
-                    # rows alike in all but their place are spread as well
+                    # the order in a shard, and what deals a leaf that is larger than one
                     key = zlib.crc32(f"{doc},{count % 64}".encode()) << 31 ^ zlib.crc32(coded)
-                    rows.append((doc, key, len(own), coded, None))
+                    rows.append((doc, key, len(own), coded, None, place))
                     size += len(coded) + 60
                     if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
                         rows, size = [], 0
                 at += len(group)
         if count:
-            rows.append((None, count, total, None, df.tobytes()))
+            rows.append((None, count, total, None, df.tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
 
     return run
@@ -190,12 +267,66 @@ def _sum_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], names=["token", "df"])
 
 
-def token_table(docs: DataFrame, id_col: str, text_col: str, name: str = TOKENIZER) -> DataFrame:
-    """``doc_id, key, n, ids, df`` in the shared folder: a row per document with its ids (end id included) and, at each
-    task's end, one with the number of documents (``key``), of ids (``n``) and the documents of each id (``df``)."""
-    ship(docs.sparkSession)
+def _statistics(table: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
+    """Ids and documents of a token table, and the documents of each id."""
+    sums = table.where("df is not null")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("key"), F.lit(0)).alias("docs")).first()
+    counts = sums.select("df").mapInArrow(_sum_df, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(size)
+    df[counts["token"].to_numpy(np.int64)] = counts["df"].to_numpy(np.float64)
+    return int(total.tokens), int(total.docs), df
+
+
+def _idf(docs: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((docs - df + 0.5) / (df + 0.5))
+
+
+_TABLE = "doc_id long, key long, n long, ids binary, df binary, leaf long"
+
+
+def _grow(given: DataFrame, count: int, name: str) -> tuple[np.ndarray, float, Tree]:
+    """The tree, and the statistics of its projections, by a sample that the rows' hashes choose."""
+    t = tokenizer(name)
+    share = max(SAMPLE, min(1.0, LEAST_SAMPLE / max(1, count)))
+    some = given.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    table = stored(some.mapInArrow(_tokenize(name), _TABLE), "packing-sample")
+    tokens, docs, df = _statistics(table, t.size)
+    idf, mean, dtype = _idf(docs, df), max(1.0, tokens / max(1, docs)), t.dtype.str
+    held = given.sparkSession.sparkContext.broadcast((idf, mean))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        projection = Projection(*held.value)
+        for batch in batches:
+            vectors = [projection.of(np.frombuffer(v.as_buffer(), dtype=dtype)).tobytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], names=["vector"])
+
+    rows = table.where("df is null").select("ids").mapInArrow(project, "vector binary").toPandas()["vector"]
+    return idf, mean, Tree(np.frombuffer(b"".join(map(bytes, rows)), dtype=np.int8).reshape(-1, DIMENSIONS))
+
+
+def token_table(docs: DataFrame, id_col: str, text_col: str, name: str = TOKENIZER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """``doc_id, key, n, ids, df, leaf`` in the shared folder: a row per document with its ids (end id included) and its
+    leaf and, at each task's end, one with the number of documents (``key``), of ids (``n``) and the documents of each id
+    (``df``). Where the texts' bytes say that one shard holds all, there is one leaf."""
+    spark = ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(given.mapInArrow(_tokenize(name), "doc_id long, key long, n long, ids binary, df binary"), "packing-tokens")
+    sizes = given.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("bytes")).first()
+    held = spark.sparkContext.broadcast(_grow(given, sizes.docs, name)) if sizes.bytes > shard_tokens else None
+    return stored(given.mapInArrow(_tokenize(name, held), _TABLE), "packing-tokens")
+
+
+def shards_of(leaves: list[tuple[int, int]], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """``leaf, first, parts`` for leaves and their tokens in order: leaves that follow one another share a shard up to
+    ``shard_tokens``, and a larger one has ``parts`` shards of its own from number ``first``."""
+    dealt: list[tuple[int, int, int]] = []
+    shard, filled = -1, shard_tokens
+    for leaf, tokens in leaves:
+        parts = max(1, -(-tokens // shard_tokens))
+        if parts > 1 or filled + tokens > shard_tokens:
+            shard, filled = shard + 1, 0
+        dealt.append((leaf, shard, parts))
+        shard, filled = shard + parts - 1, shard_tokens if parts > 1 else filled + tokens
+    return dealt
 
 
 class Index:
@@ -296,16 +427,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
     extra columns are ignored, whatever their names; no rows give no pieces.
     """
     spark = ship(docs.sparkSession)
-    table = token_table(docs, id_col, text_col, name)
-    sums = table.where("df is not null")
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("key"), F.lit(0)).alias("docs")).first()
-    size = tokenizer(name).size
-    counts = sums.select("df").mapInArrow(_sum_df, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(size)
-    df[counts["token"].to_numpy(np.int64)] = counts["df"].to_numpy(np.float64)
-    n_docs, mean = int(total.docs), max(1.0, total.tokens / max(1, total.docs))
-    held = spark.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
-    shards = max(1, -(-int(total.tokens) // shard_tokens))
+    table = token_table(docs, id_col, text_col, name, shard_tokens)
+    tokens, n_docs, df = _statistics(table, tokenizer(name).size)
+    mean = max(1.0, tokens / max(1, n_docs))
+    held = spark.sparkContext.broadcast(_idf(n_docs, df))
+    leaves = table.where("df is null").groupBy("leaf").agg(F.sum("n").alias("n")).orderBy("leaf").collect()
+    places = shards_of([(r.leaf, r.n) for r in leaves], shard_tokens)
+    shards = max((first + parts for _, first, parts in places), default=1)
     dtype = tokenizer(name).dtype.str
     schema = _PIECES + ", ids binary" * with_ids
 
@@ -331,7 +459,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
         if docs_:
             yield pa.RecordBatch.from_arrays(one(now, ids, keys, docs_), names=names)
 
-    dealt = table.where("df is null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "key", "ids")
+    rows = table.where("df is null")
+    if shards > 1:
+        place = F.broadcast(spark.createDataFrame(places, "leaf long, first long, parts long"))
+        rows = rows.join(place, "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts")))
+    else:
+        rows = rows.withColumn("shard", F.lit(0).cast("long"))
+    dealt = rows.select("shard", "doc_id", "key", "ids")
     # shard numbers are dealt by range, which gives every task its share of them; equal hashes of a few numbers don't
     tasks = dealt.repartitionByRange(min(shards, MOST_TASKS), "shard") if shards > 1 else dealt.coalesce(1)
     return tasks.sortWithinPartitions("shard").mapInArrow(run, schema)

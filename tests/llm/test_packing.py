@@ -101,3 +101,27 @@ def test_edges(spark, docs, no_docs):
     assert [r.doc_tokens for r in rows if r.doc_id in (2, 3)] == [1, 1]
     assert sum(r.doc_id is None for r in rows) == 1
     assert P.pack(no_docs).collect() == []
+
+
+def test_related_documents_share_shards(spark):
+    """Documents of 20 topics, in 20 shards and more: nearly all of a document's neighbours are in its shard."""
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(f"{chr(97 + k % 20) * 3}{int(w)}" for w in r.integers(0, 60, 40))) for k in range(1000)]
+    table = P.token_table(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", shard_tokens=8000)
+    docs = table.where("df is null").select("doc_id", "leaf", "n").collect()
+    leaves = defaultdict(int)
+    for d in docs:
+        leaves[d.leaf] += d.n
+    places = {leaf: first for leaf, first, _ in P.shards_of(sorted(leaves.items()), 8000)}
+    assert len(set(places.values())) >= 10
+    topics = defaultdict(lambda: defaultdict(int))
+    for d in docs:
+        topics[d.doc_id % 20][places[d.leaf]] += 1
+    together = sum(n * n for t in topics.values() for n in t.values()) / 20 / 50 / 50
+    assert together > 0.4  # by chance it is one in the number of shards
+
+
+def test_shards_hold_what_they_should():
+    places = P.shards_of([(0, 40), (1, 50), (2, 30), (5, 250), (6, 10), (7, 100)], 100)
+    assert places == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 3), (6, 5, 1), (7, 6, 1)]
+    assert P.shards_of([], 100) == []
