@@ -4,8 +4,8 @@ A page is cut into blocks of text, each with its tag path from the root. Text le
 summed by path; a path's ratio is its mean text length, weighted up by its mean punctuation and down by its share of
 link text. Blocks in page order get their path's ratio, the series is smoothed, raw and smoothed values are fused by
 their geometric mean, and blocks whose value reaches a share of the page's largest are seeds. The content container is
-the ``article`` or ``main`` that holds most of the seeds' text, else the seeds' deepest common ancestor that does; its
-blocks are the content. Blocks within elements that never hold an article's text (navigation, forms, scripts ...), or whose
+the deepest ``article`` or ``main`` that holds all seeds, else, if such elements hold most of the seeds' text, their
+deepest common ancestor, else that of all seeds; its blocks are the content, and the ``h1`` of a ``main`` around it. Blocks within elements that never hold an article's text (navigation, forms, scripts ...), or whose
 class, id or role says that they are adverts, notices, comments or the like, take no part.
 """
 
@@ -190,15 +190,16 @@ def main_text(page: str | None) -> str:
     value = ratios(found)
     bound = SHARE * max(value)
     seeds = [k for k, v in enumerate(value) if v >= bound and v > 0] or list(range(len(found)))
-    total = sum(len(found[k].text) for k in seeds)
-    held: dict[tuple[int, str], int] = defaultdict(int)
-    for k in seeds:
-        for element in found[k].path:
-            held[element] += len(found[k].text)
-    named = [e for e in held if e[1] in ("article", "main") and 2 * held[e] > total]
-    # numbers grow with depth along a path: the largest is the deepest; without it, the whole page is the container
-    container = max(named or [e for e in held if 2 * held[e] > total and e[1] != "p"], default=None)
-    own = [b for b in found if container is None or container in b.path]
+    # seeds in an article or main stand for the content where they are most of it
+    named = [k for k in seeds if any(name in ("article", "main") for _, name in found[k].path)]
+    if 2 * sum(len(found[k].text) for k in named) > sum(len(found[k].text) for k in seeds):
+        seeds = named
+    shared = set(found[seeds[0]].path).intersection(*(found[k].path for k in seeds[1:]))
+    # numbers grow with depth along a path: the largest is the deepest; a main that holds an article's siblings is the
+    # container, and without a common element the whole page
+    container = max([e for e in shared if e[1] in ("article", "main")] or [e for e in shared if e[1] != "p"], default=None)
+    around = next((e for b in found if container in b.path for e in b.path if e[1] == "main"), None)
+    own = [b for b in found if container is None or container in b.path or around in b.path and b.path[-1][1] == "h1"]
     # what is nearly all link text is a list of links, not prose
     own = [b for b in own if 2 * b.links <= len(b.text) or b.path and b.path[-1][1] in ("h1", "h2", "p")]
     return " ".join(b.text for b in own)

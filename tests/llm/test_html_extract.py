@@ -62,3 +62,24 @@ def test_edges(spark):
     got = H.extract(df).collect()
     assert len(got) == 5 and {(r.page_id, r.n_chars) for r in got} == {(1, 0), (2, 0), (None, len(LONG.strip())), (3, 999_999), (3, 0)}
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("body", "count"),
+    [
+        ("<div id=content><section><p>{0}{0}</p></section><section><p>{0}</p></section></div>", 3),
+        ("<div id=content><div><p>{0}{0}{0}</p></div><div><p>{0}</p><p>{0}</p></div></div>", 5),
+        ("<ul><li>{0}{0}</li><li>{0}</li></ul>", 3),
+        ("<table><tr><td>{0}{0}</td><td>{0}</td></tr></table>", 3),
+        ("<div><blockquote>{0}{0}</blockquote><p>{0}</p></div>", 3),
+        ("<main><article><p>{0}{0}{0}</p></article><article><p>{0}</p></article></main>", 4),
+        ("<div><article><p>{0}{0}{0}</p></article><article><p>{0}</p></article></div>", 4),
+    ],
+)
+def test_article_over_unequal_siblings(body, count):
+    assert H.main_text(page("<nav><a href=x>Home</a></nav>" + body.format(LONG))) == (LONG * count).strip()
+
+
+@pytest.mark.parametrize("head", ["Head", "A heading of the article, beside it."])
+def test_heading_beside_its_article(head):
+    assert H.main_text(page(f"<main><h1>{head}</h1><article><p>{LONG}</p></article></main>")) == f"{head} {LONG.strip()}"
