@@ -9,8 +9,8 @@
    similar documents) is dealt to several by a hash. A shard is one task, whatever the corpus' size, and holds an
    inverted index with BM25 impacts of its documents. A corpus of one shard is searched whole; beyond that a seed sees
    the documents on its own side of the tree's cuts, and the README says what part of its true neighbours these hold.
-3. In a shard a seed opens a window. Its heaviest terms query the index, and unused neighbours fill the window, best
-   first, those that fit whole before one that is cut. What is cut off opens the next window, so only a shard's last
+3. In a shard a seed opens a window. All its terms query the index, and unused neighbours fill the window, best first,
+   as far down the ranking as it takes; of ``NEIGHBOURS`` at a time those that fit whole before one that is cut. What is cut off opens the next window, so only a shard's last
    window is padded. A document longer than a window fills whole windows of its own and opens one with the rest.
 """
 
@@ -40,8 +40,10 @@ K1, B = 1.2, 0.75
 #: Share of the documents, and documents at least, that the tree is grown on; documents of the sample in a leaf at most;
 #: dimensions of the projections and their step as bytes.
 SAMPLE, LEAST_SAMPLE, LEAF, DIMENSIONS, STEP = 0.01, 2000, 8, 64, 1 / 256
-#: Terms of a seed's query, and neighbours that a query returns at first.
-TERMS, NEIGHBOURS = 24, 32
+#: Neighbours that are tried at a time, before one that doesn't fit whole is cut.
+NEIGHBOURS = 32
+#: Terms that this part of a shard's documents have are held as whole rows of impacts.
+OFTEN = 1 / 4
 #: Entries of a tokenizer's word cache; two generations of half that.
 CACHE = 800_000
 #: Longer words aren't held.
@@ -345,16 +347,26 @@ class Index:
         self.token, self.own = token, impact
         order = np.argsort(token, kind="stable")
         self.docs, self.impact = self.owner[order], impact[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=size))])
+        count = np.bincount(token, minlength=size)
+        self.start = np.concatenate([[0], np.cumsum(count)])
         self.n = len(docs)
-
-    def scores(self, doc: int, terms: int = TERMS) -> np.ndarray:
-        """BM25 score of every document for the ``terms`` heaviest terms of ``doc``."""
-        a, b = self.of[doc], self.of[doc + 1]
-        own = self.own[a:b]
-        pick = np.argpartition(-own, terms)[:terms] if b - a > terms else np.arange(b - a)
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.token[a:b][pick].tolist()]
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), weights=np.concatenate([self.impact[s] for s in spans]), minlength=self.n)
+        often = np.flatnonzero(count >= max(1, OFTEN * self.n))
+        self.row = np.full(size, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n), dtype=np.float32)
+        for k, t in enumerate(often.tolist()):
+            at = slice(self.start[t], self.start[t + 1])
+            self.rows[k, self.docs[at]] = self.impact[at]
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 score of every document for all terms of ``doc``."""
+        token = self.token[self.of[doc] : self.of[doc + 1]]
+        row = self.row[token]
+        score = np.add.reduce(self.rows[row[row >= 0]], axis=0).astype(np.float64)
+        spans = [slice(self.start[t], self.start[t + 1]) for t in token[row < 0].tolist()]
+        if spans:
+            score += np.bincount(np.concatenate([self.docs[s] for s in spans]), weights=np.concatenate([self.impact[s] for s in spans]), minlength=self.n)
+        return score
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -392,19 +404,24 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             if not put_all(seed, 0):
                 continue
         score = np.where(unused, index.scores(seed), 0.0)
-        near = np.flatnonzero(score > 0)
-        if len(near) > NEIGHBOURS:
-            near = near[np.argpartition(-score[near], NEIGHBOURS)[:NEIGHBOURS]]
-        near = near[np.lexsort((near, -score[near]))].tolist()
-        for doc in near:
-            if length[doc] <= window - filled:
-                unused[doc] = False
-                put(doc, 0, length[doc])
-                if not filled:
-                    break
-        if filled:
-            # none fits whole any more: the best that is left is cut, and its rest is the next window's seed
+        best = -1
+        while filled and best < 0:
+            near = np.flatnonzero(score > 0)
+            if not len(near):
+                break
+            if len(near) > NEIGHBOURS:
+                near = near[score[near] >= -np.partition(-score[near], NEIGHBOURS - 1)[NEIGHBOURS - 1]]
+            near = near[np.lexsort((near, -score[near]))][:NEIGHBOURS].tolist()
+            for doc in near:
+                if length[doc] <= window - filled:
+                    unused[doc] = False
+                    score[doc] = 0.0
+                    put(doc, 0, length[doc])
+                    if not filled:
+                        break
             best = next((d for d in near if unused[d]), -1)
+        if filled:
+            # some of those tried don't fit whole: the best of them is cut, and its rest is the next window's seed
             if best < 0:
                 while following < len(docs) and not unused[following]:
                     following += 1

@@ -125,3 +125,24 @@ def test_shards_hold_what_they_should():
     places = P.shards_of([(0, 40), (1, 50), (2, 30), (5, 250), (6, 10), (7, 100)], 100)
     assert places == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 3), (6, 5, 1), (7, 6, 1)]
     assert P.shards_of([], 100) == []
+
+
+def test_short_neighbours_fill_the_window():
+    """More neighbours than are tried at a time fit a window: it takes related ones on, not the next unread document."""
+    r = np.random.default_rng(5)
+    docs = [np.append(r.integers(10, 40, 3), 5) + 100 * (k % 2) for k in range(400)]  # a topic's documents share a term
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=200)
+    pieces = P.pack_shard(docs, np.log1p((400 - df + 0.5) / (df + 0.5)), 4.0, 400)
+    seen = defaultdict(set)
+    for doc, _, _, sequence, _ in pieces:
+        seen[sequence].add(doc % 2)
+    assert sum(len(t) > 1 for t in seen.values()) <= 1
+
+
+def test_all_terms_are_queried():
+    """A document that shares only a light term of a long seed has a score."""
+    docs = [np.arange(1, 60), np.array([59, 70]), np.array([80])]
+    idf = np.ones(100)
+    idf[59] = 0.01
+    index = P.Index(docs, idf, 20.0)
+    assert index.scores(0)[1] > 0 and index.scores(0)[2] == 0
