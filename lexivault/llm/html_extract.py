@@ -5,7 +5,8 @@ summed by path; a path's ratio is its mean text length, weighted up by its mean
 link text. Blocks in page order get their path's ratio, the series is smoothed, raw and smoothed values are fused by
 their geometric mean, and blocks whose value reaches a share of the page's largest are seeds. The content container is
 the deepest ``article`` or ``main`` that holds all seeds, else, if such elements hold most of the seeds' text, their
-deepest common ancestor, else that of all seeds; its blocks are the content, and the ``h1`` of a ``main`` around it. Blocks within elements that never hold an article's text (navigation, forms, scripts ...), or whose
+deepest common ancestor, else that of all seeds; its blocks are the content, and the ``h1`` of a ``main`` around it. Outside ``article`` and ``main``, tag paths of mostly link text are
+lists of links and go, but for headings and paragraphs. Blocks within elements that never hold an article's text (navigation, forms, scripts ...), or whose
 class, id or role says that they are adverts, notices, comments or the like, take no part.
 """
 
@@ -200,8 +201,18 @@ def main_text(page: str | None) -> str:
     container = max([e for e in shared if e[1] in ("article", "main")] or [e for e in shared if e[1] != "p"], default=None)
     around = next((e for b in found if container in b.path for e in b.path if e[1] == "main"), None)
     own = [b for b in found if container is None or container in b.path or around in b.path and b.path[-1][1] == "h1"]
-    # what is nearly all link text is a list of links, not prose
-    own = [b for b in own if 2 * b.links <= len(b.text) or b.path and b.path[-1][1] in ("h1", "h2", "p")]
+    # outside an article or main, a tag path that is nearly all link text is a list of links, not prose
+    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    for b in own:
+        sums[tuple(name for _, name in b.path)][0] += b.links
+        sums[tuple(name for _, name in b.path)][1] += len(b.text)
+
+    def lists(b: Block) -> bool:
+        names = tuple(name for _, name in b.path)
+        links, length = sums[names]
+        return 2 * links > length and not {"article", "main"} & set(names) and names[-1:] not in {("p",), *((f"h{k}",) for k in range(1, 7))}
+
+    own = [b for b in own if not lists(b)]
     return " ".join(b.text for b in own)
 
 

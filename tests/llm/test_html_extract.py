@@ -83,3 +83,14 @@ def test_article_over_unequal_siblings(body, count):
 @pytest.mark.parametrize("head", ["Head", "A heading of the article, beside it."])
 def test_heading_beside_its_article(head):
     assert H.main_text(page(f"<main><h1>{head}</h1><article><p>{LONG}</p></article></main>")) == f"{head} {LONG.strip()}"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_links_in_an_article_stay(tag):
+    body = f"<{tag}><h3><a href=a>Three</a></h3><p>{LONG}</p><ul><li><a href=b>Source one</a></li><li>two</li></ul><table><tr><td><a href=c>cell</a></td></tr></table><dl><dt><a href=d>term</a><dd><a href=e>entry</a></dl><figure><figcaption><a href=f>caption</a></figcaption></figure></{tag}>"
+    assert H.main_text(page(body)) == f"Three {LONG.strip()} Source one two cell term entry caption"
+
+
+def test_lists_of_links_outside_an_article_go():
+    lists = "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul>"
+    assert H.main_text(page(f"<div><h3><a href=x>Three</a></h3><p>{LONG}</p><ol><li><a href=c>A source</a></li><li>{LONG}</li></ol>{lists}<p>{LONG}</p></div>")) == f"Three {LONG}A source {LONG}{LONG}".strip()
