@@ -1,20 +1,26 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page is cut into blocks of text, each with its tag path from the root. Text length, punctuation and link text are
-summed by path; a path's ratio is its mean text length, weighted up by its mean punctuation and down by its share of
-link text. Blocks in page order get their path's ratio, the series is smoothed, raw and smoothed values are fused by
-their geometric mean, and blocks whose value reaches a share of the page's largest are seeds. The content container is
-the deepest ``article`` or ``main`` that holds all seeds, else, if such elements hold most of the seeds' text, their
-deepest common ancestor, else that of all seeds; its blocks are the content, and the ``h1`` of a ``main`` around it. Outside ``article`` and ``main``, tag paths of mostly link text are
-lists of links and go, but for headings and paragraphs. Blocks within elements that never hold an article's text (navigation, forms, scripts ...), or whose
-class, id or role says that they are adverts, notices, comments or the like, take no part.
+summed by path; a path's ratio grows with its mean text length (``L / (L + HALF)``, so that one very long block doesn't
+dwarf the others) and its mean punctuation and falls with its share of link text. A path below an element whose class,
+id or role tells of adverts, notices, comments or the like has its ratio divided by ``HINTED`` for each such element; one
+below ``article`` or ``main`` has it times ``NAMED``. Blocks in page order get their path's ratio, the series is smoothed,
+raw and smoothed values are fused by their geometric mean, and blocks whose value reaches ``SHARE`` of the page's largest
+are seeds.
+
+The content container is the deepest ``article`` or ``main`` that holds all seeds, else, if such elements hold most of the
+seeds' text, their deepest common ancestor, else that of all seeds. Of its blocks the seeds are content, and so are those
+of elements made for prose (paragraphs, headings, list entries, cells, captions, quotations), unless a hint between the
+container and the block lowers their path, or, outside ``article`` and ``main``, their path is mostly link text. The
+page's only ``h1`` before a container without one is its title. Text in elements that never hold an article's
+(navigation, scripts ...) takes no part.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,29 +30,38 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
+#: A quote opens a value only after ``=``, and only where it closes before white space or the tag's end; a tag whose
+#: quotes don't match ends at the next ``>``.
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>])|[^>])*+)(>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
-#: Elements whose content is no markup.
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Elements whose content is no markup; the second kind is read as markup where its end is missing.
+RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
+MAYBE_RAW = frozenset("noscript iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand within a line of text; all others begin and end blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-#: Elements whose text is never an article's.
-NEVER = frozenset("nav header footer aside form menu dialog button select option head template svg canvas object audio video".split())
+#: Elements whose text is never an article's; ``header`` is one outside ``article`` and ``main``.
+NEVER = frozenset("nav header footer aside menu dialog button select option head template svg canvas object audio video".split())
 #: Words of class, id or role that mark such parts.
-HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies reply complementary contentinfo".split())
+HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies reply complementary".split())
+#: These mark them too, but not beside a word of the article: ``article-header``.
+WEAK_HINTS = frozenset("header footer masthead banner notice notices alert contentinfo".split())
+OF_ARTICLE = frozenset("article post entry story content".split())
 #: Beside one of these a hint tells of the page's layout, not of the element: ``has-sidebar``.
 NO_HINT = frozenset("has with no without".split())
+#: Elements made for prose, and those of them that keep their links anywhere.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre summary address".split())
+LINKED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: An open element on the left ends where one on the right begins.
 CLOSED_BY = {
-    "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
+    "p": frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()),
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
     "dd": frozenset(["dt", "dd"]),
@@ -55,30 +70,60 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot", "thead"]),
     "option": frozenset(["option", "optgroup"]),
 }
-SHARE = 0.15
-MOST_DEPTH = 200
+#: An end tag within one of these doesn't close what is open around it, unless it is of a table's own.
+SCOPES = frozenset("td th caption table".split())
+OF_TABLES = frozenset("td th caption table tr tbody thead tfoot body html".split())
+#: Mean length at which a path's ratio is half of the most; factors of a hint and of ``article`` and ``main``; the share of
+#: the largest value from which blocks are seeds.
+HALF, HINTED, NAMED, SHARE = 80, 1000.0, 2.0, 0.2
+
+
+class Node:
+    """An element: ``number`` in page order, ``last`` the largest number within it, ``path`` the number of its tag path,
+    ``out`` if its text is never an article's, ``inside`` an ``article`` or ``main``, ``level`` the hints around it."""
+
+    __slots__ = ("number", "last", "name", "parent", "path", "hint", "out", "inside", "level")
+
+    def __init__(self, number: int, name: str, parent: Node | None, path: int, hint: bool, out: bool, inside: bool):
+        self.number, self.name, self.parent, self.path, self.hint, self.out, self.inside = number, name, parent, path, hint, out, inside
+        self.last, self.level = number, 0
+
+    def holds(self, other: Node) -> bool:
+        return self.number <= other.number <= self.last
 
 
 @dataclass
 class Block:
-    """``path``: the element numbers and names from the root; ``text``: white space already folded; ``links``: characters
-    of it in links; ``out``: within a part that never holds an article's text."""
+    """``node``: the element that the text stands in; ``text``: white space already folded; ``links``: characters of it in
+    links."""
 
-    path: tuple[tuple[int, str], ...]
+    node: Node
     text: str
     links: int
-    out: bool
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        """The tag path from the root."""
+        found, node = [], self.node
+        while node.parent is not None:
+            found.append(node.name)
+            node = node.parent
+        return tuple(reversed(found))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Tags that are cut off by the page's end, unknown end tags and markup
     declarations vanish; an element that is never closed reaches to its parent's end or the page's."""
     found: list[Block] = []
-    stack: list[tuple[int, str, bool]] = []  # number, name, out
+    root = Node(0, "", None, 0, False, False, False)
+    nodes, stack, open_names = [root], [root], Counter()
+    paths: dict[tuple[int, str], int] = {}
+    endless: set[str] = set()
     parts: list[str] = []
     links = 0
-    link_depth = 0
-    number = 0
+    in_link = False
+    muted: list[str] = []  # open inline elements from a hinted one on
+    muted_in: Node | None = None
     at = 0
 
     def flush() -> None:
@@ -86,17 +131,29 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(tuple((n, name) for n, name, _ in stack), text, links, bool(stack) and stack[-1][2]))
+                found.append(Block(stack[-1], text, links))
             parts = []
         links = 0
 
     def say(text: str) -> None:
         nonlocal links
+        if muted:
+            return
         text = _html.unescape(text)
         parts.append(text)
-        if link_depth:
+        if in_link:
             links += len(text.strip())
 
+    def pop() -> Node:
+        nonlocal muted_in
+        node = stack.pop()
+        node.last = len(nodes) - 1
+        open_names[node.name] -= 1
+        if node is muted_in:
+            muted.clear()
+            muted_in = None
+        return node
+
     while at < len(page):
         open_at = page.find("<", at)
         if open_at < 0:
@@ -119,45 +176,88 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                link_depth = 0 if closing else 1
-            if not (attributes and not closing and _hinted(attributes)):
+                in_link = not closing
+            if name in VOID:
                 continue
+            if muted:
+                if not closing:
+                    if name == "a" and "a" in muted:  # links don't nest: the open one ends
+                        del muted[muted.index("a") :]
+                    else:
+                        muted.append(name)
+                elif name in muted:
+                    del muted[len(muted) - 1 - muted[::-1].index(name) :]
+                if not muted:
+                    muted_in = None
+            if not muted and not closing and attributes and _hinted(attributes):
+                muted, muted_in = [name], stack[-1]
+            continue
         if not closing:
             flush()
-            link_depth = 0
-            while stack and name in CLOSED_BY.get(stack[-1][1], ()):
-                stack.pop()
+            in_link = False
+            while stack[-1].name in CLOSED_BY and name in CLOSED_BY[stack[-1].name]:
+                pop()
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                if end is None:
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+                if end is not None:
+                    close = page.find(">", end.start())
+                    at = len(page) if close < 0 else close + 1
+                    continue
+                if name not in MAYBE_RAW:
                     break
-                close = page.find(">", end.start())
-                at = len(page) if close < 0 else close + 1
-                continue
+                endless.add(name)
             if name in VOID or attributes.endswith("/") and name not in ("p", "div"):
                 continue
-            number += 1
-            if len(stack) < MOST_DEPTH:
-                inside = any(n in ("article", "main") for _, n, _ in stack)
-                out = bool(stack) and stack[-1][2] or name in NEVER and not (name == "header" and inside) or name not in ("html", "body") and bool(attributes) and _hinted(attributes)
-                stack.append((number, name, out))
-        elif any(n == name for _, n, _ in stack):
-            flush()
-            link_depth = 0
-            while stack.pop()[1] != name:
-                pass
-        elif name not in INLINE:
+            around = stack[-1]
+            out = around.out or bool(muted) or name in NEVER and not (name == "header" and around.inside)
+            hint = name == "form" or name not in ("html", "body") and bool(attributes) and _hinted(attributes)
+            node = Node(len(nodes), name, around, paths.setdefault((around.path, name), len(paths) + 1), hint, out, around.inside or name in ("article", "main"))
+            nodes.append(node)
+            stack.append(node)
+            open_names[name] += 1
+            continue
+        if name in ("html", "body") or not open_names[name]:
             flush()
+            continue
+        if name not in OF_TABLES:
+            k = len(stack) - 1
+            while stack[k].name != name and stack[k].name not in SCOPES:
+                k -= 1
+            if stack[k].name != name:
+                flush()
+                continue
+        flush()
+        in_link = False
+        while pop().name != name:
+            pass
     flush()
+    while len(stack) > 1:
+        pop()
+    root.last = len(nodes) - 1
+    _levels(nodes, found)
     return found
 
 
+def _levels(nodes: list[Node], found: list[Block]) -> None:
+    """Counts the hints around each element. An element that holds most of the page's text and an ``article``, ``main``
+    or ``h1`` without a hint of its own is the page's wrapper, whatever its class says."""
+    text, titled = [0] * len(nodes), [n.name in ("article", "main", "h1") and not n.hint and not n.out for n in nodes]
+    for b in found:
+        if not b.node.out:
+            text[b.node.number] += len(b.text)
+    for n in reversed(nodes[1:]):
+        text[n.parent.number] += text[n.number]
+        titled[n.parent.number] |= titled[n.number]
+    for n in nodes[1:]:
+        n.level = n.parent.level + (n.hint and not (titled[n.number] and 2 * text[n.number] > text[0]))
+
+
 def _hinted(attributes: str) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
             parts = {p.lower() for p in _PART.findall(value)}
-            if not HINTS.isdisjoint(parts) and NO_HINT.isdisjoint(parts):
+            if NO_HINT.isdisjoint(parts) and not (HINTS.isdisjoint(parts) and (WEAK_HINTS.isdisjoint(parts) or not OF_ARTICLE.isdisjoint(parts))):
                 return True
         if key == "hidden":
             return True
@@ -166,8 +266,8 @@ def _hinted(attributes: str) -> bool:
 
 def ratios(found: list[Block]) -> list[float]:
     """The fused tag-path ratio of each block."""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    keys = [tuple(name for _, name in b.path) for b in found]
+    keys = [(b.node.path, b.node.level) for b in found]
+    sums: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for key, b in zip(keys, found):
         s = sums[key]
         s[0] += 1
@@ -175,45 +275,72 @@ def ratios(found: list[Block]) -> list[float]:
         s[2] += len(_PUNCTUATION.findall(b.text))
         s[3] += b.links
     raw = []
-    for key in keys:
+    for key, b in zip(keys, found):
         n, length, marks, links = sums[key]
-        raw.append(length / n * (1 + marks / n) * max(0.0, 1 - links / length))
+        mean = length / n
+        prior = (NAMED if b.node.inside else 1.0) / HINTED ** min(key[1], 20)
+        raw.append(mean / (mean + HALF) * (1 + min(marks / n, 4.0)) * max(0.0, 1 - links / length) * prior)
     smooth = [(raw[max(0, k - 1)] + 2 * raw[k] + raw[min(len(raw) - 1, k + 1)]) / 4 for k in range(len(raw))]
     return [(a * b) ** 0.5 for a, b in zip(raw, smooth)]
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its content blocks in order, one space between them. Empty for null, empty and pages
-    without such a block."""
-    found = [b for b in blocks(page or "") if not b.out]
+def content(found: list[Block]) -> list[Block]:
+    """The content blocks of a page's blocks, in order."""
+    found = [b for b in found if not b.node.out]
     if not found:
-        return ""
+        return []
     value = ratios(found)
     bound = SHARE * max(value)
     seeds = [k for k, v in enumerate(value) if v >= bound and v > 0] or list(range(len(found)))
     # seeds in an article or main stand for the content where they are most of it
-    named = [k for k in seeds if any(name in ("article", "main") for _, name in found[k].path)]
+    named = [k for k in seeds if found[k].node.inside]
     if 2 * sum(len(found[k].text) for k in named) > sum(len(found[k].text) for k in seeds):
         seeds = named
-    shared = set(found[seeds[0]].path).intersection(*(found[k].path for k in seeds[1:]))
-    # numbers grow with depth along a path: the largest is the deepest; a main that holds an article's siblings is the
-    # container, and without a common element the whole page
-    container = max([e for e in shared if e[1] in ("article", "main")] or [e for e in shared if e[1] != "p"], default=None)
-    around = next((e for b in found if container in b.path for e in b.path if e[1] == "main"), None)
-    own = [b for b in found if container is None or container in b.path or around in b.path and b.path[-1][1] == "h1"]
-    # outside an article or main, a tag path that is nearly all link text is a list of links, not prose
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
-    for b in own:
-        sums[tuple(name for _, name in b.path)][0] += b.links
-        sums[tuple(name for _, name in b.path)][1] += len(b.text)
-
-    def lists(b: Block) -> bool:
-        names = tuple(name for _, name in b.path)
-        links, length = sums[names]
-        return 2 * links > length and not {"article", "main"} & set(names) and names[-1:] not in {("p",), *((f"h{k}",) for k in range(1, 7))}
-
-    own = [b for b in own if not lists(b)]
-    return " ".join(b.text for b in own)
+    # numbers are in page order: what holds the smallest and the largest holds all between
+    places = [found[k].node for k in seeds]
+    low, high = min(places, key=lambda n: n.number), max(places, key=lambda n: n.number)
+    shared = low
+    while not shared.holds(high):
+        shared = shared.parent
+    container = shared
+    while container.name not in ("article", "main", ""):
+        container = container.parent
+    if not container.name:
+        container = shared
+        while container.name in PROSE:
+            container = container.parent
+    passed, level = set(seeds), container.level
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for b in found:
+        if container.holds(b.node):
+            sums[b.node.path][0] += b.links
+            sums[b.node.path][1] += len(b.text)
+    own = []
+    for k, b in enumerate(found):
+        if container.holds(b.node) and b.node.level == level:
+            links, length = sums[b.node.path]
+            lists = 2 * links > length and not b.node.inside and b.node.name not in LINKED
+            if not lists and (k in passed or value[k] >= bound or b.node.name in PROSE or _prose_around(b.node, container)):
+                own.append(b)
+    titles = [b for b in found if b.node.name == "h1" and not b.node.level]
+    if len(titles) == 1 and not container.holds(titles[0].node) and titles[0].node.number < container.number:
+        own = titles + own
+    return own
+
+
+def _prose_around(node: Node, container: Node) -> bool:
+    """Whether an element made for prose stands between a block and the container: a ``div`` in a list entry."""
+    while node is not container:
+        if node.name in PROSE:
+            return True
+        node = node.parent
+    return False
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: its content blocks in order, one space between them. Empty for null, empty and pages
+    without such a block."""
+    return " ".join(b.text for b in content(blocks(page or "")))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
@@ -222,9 +349,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(pages.sparkSession)
-    given = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
+    given = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", text string, n_chars long"
-    first = to_arrow_schema(given.drop("_html").schema)
+    first = to_arrow_schema(pages.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

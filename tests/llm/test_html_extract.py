@@ -94,3 +94,115 @@ def test_links_in_an_article_stay(tag):
 def test_lists_of_links_outside_an_article_go():
     lists = "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul>"
     assert H.main_text(page(f"<div><h3><a href=x>Three</a></h3><p>{LONG}</p><ol><li><a href=c>A source</a></li><li>{LONG}</li></ol>{lists}<p>{LONG}</p></div>")) == f"Three {LONG}A source {LONG}{LONG}".strip()
+
+
+T = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        # deep nesting followed by siblings
+        ("<article>" + "<div>" * 250 + "<nav>menu</nav>Deep, but prose." + "</div>" * 250 + f"<p>{LONG}</p></article>", f"Deep, but prose. {T}"),
+        ("<div>" * 3000 + f"<nav><p>{LONG}</p></nav>" + "</div>" * 3000 + f"<article><p>{LONG}</p></article><footer>x</footer>", T),
+        # stray quotes
+        (f'<article><p class=foo">{LONG}</p></article>', T),
+        (f"<article><p>{LONG}<b data-x=it's>bold</b> rest</p></article>", f"{LONG}bold rest"),
+        (f'<article><p title="a > b" class=\'x>y\'>{LONG}</p></article>', T),
+        (f'<article><p class="foo>{LONG}<a href="x">end</a></p></article>', f"{LONG}end"),
+        # inline elements that hint
+        (f"<article><a class='share-btn'>Share</a><p>{LONG}</p></article>", T),
+        (f"<article><p>{LONG}<span class='ad'>Buy <b>now</b></span>end</p></article>", f"{LONG}end"),
+        (f"<article><p>{LONG}<span class=ad>Buy</p><p>{LONG}</p></article>", f"{T} {T}"),
+        (f"<article><p>{LONG}<a class=share>Share<a href=x>link</a></p></article>", f"{LONG}link"),
+        # class words of wrappers and of the article's own parts
+        (f"<div class='layout sidebar-left'><article><p>{LONG}</p></article><div class=comments><p>{LONG}</p></div></div>", T),
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title {T}"),
+        # boilerplate inside an article, by its path's ratio
+        (f"<article><p>{LONG}</p><p>{LONG}</p><div><span>Price: 5</span></div><div>Tags: a</div><div>Buy now</div></article>", f"{T} {T}"),
+        (f"<article><p>{LONG}</p><p>Short.</p><ul><li>a</li></ul><div>{LONG}</div></article>", f"{T} Short. a {T}"),
+        # no article tags
+        (f"<div id=top><a href=a>Home</a> <a href=b>News</a></div><h1>Title</h1><div id=x><p>{LONG}</p><pre>{LONG * 40}</pre><p>{LONG}</p></div><div class=footer>(c)</div>", f"Title {T} {(LONG * 40).strip()} {T}"),
+        (f"<table><tr><td><a href=a>Home</a></td><td><p>{LONG}</p></div><p>{LONG}</p></td></tr></table>", f"{T} {T}"),
+        (f"<form id=page><div><p>{LONG}</p><p>{LONG}</p></div></form>", f"{T} {T}"),
+        (f"<ul><li><p>{LONG}<li>{LONG}</ul>", f"{T} {T}"),
+    ],
+)
+def test_no_text_is_lost_and_none_leaks(body, text):
+    assert H.main_text(page(body)) == text
+
+
+def plain_blocks(page):
+    """Names of the open elements and text of each block, by a plain stack over the standard library's parser."""
+    from html.parser import HTMLParser
+
+    found, stack, said, skip = [], [], [], []
+
+    class P(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+        def flush(self):
+            text = " ".join("".join(said).split())
+            said.clear()
+            if text and not skip:
+                found.append((tuple(stack), text))
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("title", "script", "style"):
+                skip.append(tag)
+            elif tag == "br":
+                said.append(" ")
+            elif tag not in ("b", "a", "i", "meta"):
+                self.flush()
+                if stack and stack[-1] == "p" and tag in ("p", "h1", "ul", "div"):
+                    stack.pop()
+                stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in skip:
+                skip.remove(tag)
+            elif tag in stack:
+                self.flush()
+                while stack.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not skip:
+                said.append(data)
+
+    p = P(convert_charrefs=True)
+    p.feed(re.sub(r"<[^<>]*\Z", "", page))
+    p.close()
+    p.flush()
+    return [(names, text) for names, text in found]
+
+
+def test_ratios_against_brute_force(spark):
+    """Blocks and fused ratios of all generated pages, with each path's sums made anew for each block."""
+    n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        mine = [b for b in H.blocks(r.html or "") if not b.node.out]
+        plain = [(names, t) for names, t in plain_blocks(r.html or "") if not {"nav", "footer"} & set(names)]
+        assert [t for _, t in plain] == [b.text for b in mine]
+        raw = []
+        for b in mine:
+            same = [o for o in mine if o.names == b.names and o.node.level == b.node.level]
+            size, marks, links = (sum(f(o) for o in same) for f in (lambda o: len(o.text), lambda o: sum(c in ".,;:!?…。，、؟" for c in o.text), lambda o: o.links))
+            mean = size / len(same)
+            prior = (2.0 if {"article", "main"} & set(b.names) else 1.0) * 0.001**b.node.level
+            raw.append(mean / (mean + 80) * (1 + min(4.0, marks / len(same))) * (1 - links / size) * prior)
+        padded = raw[:1] + raw + raw[-1:]
+        for k, v in enumerate(H.ratios(mine)):
+            assert v == pytest.approx((raw[k] * (padded[k] + 2 * padded[k + 1] + padded[k + 2]) / 4) ** 0.5)
+            n += 1
+    assert n > 1000
+
+
+def test_article_tags_renamed_give_the_same_text(spark):
+    """The generated pages without their article tags: the ratios alone find the same blocks."""
+    same = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        h = r.html or ""
+        total += 1
+        same += H.main_text(h) == H.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>"))
+    assert same >= 0.97 * total
