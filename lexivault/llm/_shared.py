@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-__all__ = ["connected_components", "release", "stored"]
+__all__ = ["beside", "connected_components", "release", "stored"]
+
+
+def beside(df: DataFrame, keep: tuple[str, ...], value: Column) -> tuple[DataFrame, list]:
+    """The columns ``keep`` of ``df`` and ``value`` under names that can't clash, and the kept columns' fields."""
+    own = [F.col("`" + name.replace("`", "``") + "`") for name in keep]
+    return df.select(*[c.alias(f"c{k}") for k, c in enumerate(own)], value.alias("value")), df.select(*own).schema.fields
 
 
 def release(spark: SparkSession) -> None:

@@ -27,8 +27,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
+from ._shared import beside
 
 #: A quote opens a value only after ``=``, and only where it closes before white space or the tag's end; a tag whose
 #: quotes don't match ends at the next ``>``.
@@ -346,12 +348,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep`` columns, ``text`` and ``n_chars`` (its code points) of every row. Null pages are empty; rows with equal or
     null keys stay apart; other columns are ignored, whatever their names."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     ship(pages.sparkSession)
-    given = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", text string, n_chars long"
-    first = to_arrow_schema(pages.select(*keep).schema)
+    given, kept = beside(pages, keep, F.coalesce(F.col(html_col), F.lit("")))
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,8 +359,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 texts = [main_text(v.as_py()) for v in part.column(part.num_columns - 1)]
-                columns = [part.column(k) for k in range(len(first))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*first.names, "text", "n_chars"])
+                columns = [part.column(k) for k in range(len(kept))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return given.mapInArrow(run, schema)
 

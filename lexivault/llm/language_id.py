@@ -7,8 +7,10 @@ Texts are cut into windows of ``WINDOW`` bytes, each run from a zero state both
 together, one lane each, so the cost per byte doesn't depend on how long the documents are.
 
 Training is backpropagation through time with Adam on windows of a bounded sample of labelled documents: at most
-``sample_docs`` documents of each of the ``most_langs`` most frequent languages, those with the smallest hashes of their
-ids, and ``windows`` windows of each. Every document counts for the language counts; the bound only limits what is fitted.
+``sample_docs`` different texts of each language, those with the smallest hashes, and ``windows`` windows of each. Every
+labelled text counts for the bound of the hashes; languages aren't limited. One class more stands for what is in no
+language: it is trained on random runs of letters and digits such as keys, codes and dumps have. It is never
+predicted; its pooled probability is a document's ``noise``.
 """
 
 from __future__ import annotations
@@ -18,19 +20,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
+from ._shared import beside
 
 HIDDEN = 12
 WINDOW = 128
 LANES = 1024
 TRAIN_WINDOW = 64
-#: Bounds of the fitted sample: documents a language, windows a document, languages.
-SAMPLE_DOCS, WINDOWS, MOST_LANGS = 400, 8, 64
-STEPS, TRAIN_LANES, RATE = 300, 256, 0.02
+#: Position probabilities that are held at once: windows advance in fewer lanes where languages are many.
+HELD = LANES * WINDOW * 16
+#: Bounds of the fitted sample: documents a language, windows a document.
+SAMPLE_DOCS, WINDOWS = 400, 8
+#: Training steps at least, and for each language.
+STEPS, STEPS_A_LANG, TRAIN_LANES, RATE = 300, 20, 256, 0.02
+#: What random runs are drawn from, one of these each.
+NOISE = (b"0123456789abcdef", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 UNKNOWN = "und"
+#: The network reads A-Z as a-z, so that headlines are in their language too.
+FOLD = bytes(k + 32 if 65 <= k <= 90 else k for k in range(256))
 
 _value = np.arange(256)
 #: Bytes that are or may be part of a letter: ASCII letters and all of multi-byte UTF-8.
@@ -40,7 +51,8 @@ IS_LETTER = (((_value | 32) >= 97) & ((_value | 32) <= 122) | (_value >= 128)).a
 @dataclass
 class Model:
     """``table`` (2, 256, 3H): input weights and biases of reset, update and candidate; ``inner`` (2, 3H, H): recurrent
-    weights; ``bias`` (2, H): the candidate's recurrent bias; ``out`` (K, 2H) and ``out_bias`` (K)."""
+    weights; ``bias`` (2, H): the candidate's recurrent bias; ``out`` (K, 2H) and ``out_bias`` (K), where K is one more than
+    the languages if the last class is noise."""
 
     langs: list[str]
     table: np.ndarray
@@ -53,10 +65,10 @@ class Model:
         return [self.table, self.inner, self.bias, self.out, self.out_bias]
 
 
-def new_model(langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Model:
+def new_model(langs: list[str], hidden: int = HIDDEN, seed: int = 7, noise: bool = False) -> Model:
     r = np.random.default_rng(seed)
     normal = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
-    return Model(langs, normal(2, 256, 3 * hidden, scale=0.3), normal(2, 3 * hidden, hidden, scale=hidden**-0.5), np.zeros((2, hidden), np.float32), normal(len(langs), 2 * hidden, scale=0.3), np.zeros(len(langs), np.float32))
+    return Model(langs, normal(2, 256, 3 * hidden, scale=0.3), normal(2, 3 * hidden, hidden, scale=hidden**-0.5), np.zeros((2, hidden), np.float32), normal(len(langs) + noise, 2 * hidden, scale=0.3), np.zeros(len(langs) + noise, np.float32))
 
 
 def _states(m: Model, x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -140,19 +152,33 @@ def gradients(m: Model, x: np.ndarray, label: np.ndarray, mask: np.ndarray) -> t
     return loss, [g_table, g_inner, g_bias, g_out.astype(np.float32), g_out_bias.astype(np.float32)]
 
 
-def train(windows: list[bytes], labels: list[int], langs: list[str], steps: int = STEPS, seed: int = 7, hidden: int = HIDDEN) -> Model:
-    """Fits a model on ``windows``, of up to ``TRAIN_WINDOW`` bytes, whose languages are ``langs[label]``. Languages weigh
-    the same, however many windows they have. The result depends on the arguments only."""
-    m = new_model(langs, hidden, seed)
+def noise_windows(n: int, seed: int = 3) -> list[bytes]:
+    """Random runs of letters and digits, with or without spaces between them."""
+    r = np.random.default_rng(seed)
+    found = []
+    for k in range(n):
+        data = np.frombuffer(NOISE[k % len(NOISE)], dtype=np.uint8)[r.integers(0, len(NOISE[k % len(NOISE)]), TRAIN_WINDOW)].copy()
+        if k // len(NOISE) % 2:
+            data[r.random(TRAIN_WINDOW) < 0.12] = 0x20
+        found.append(data.tobytes())
+    return found
+
+
+def train(windows: list[bytes], labels: list[int], langs: list[str], steps: int | None = None, seed: int = 7, hidden: int = HIDDEN) -> Model:
+    """Fits a model on ``windows``, of up to ``TRAIN_WINDOW`` bytes, whose languages are ``langs[label]``, and on noise.
+    Languages weigh the same, however many windows they have. The result depends on the arguments only."""
+    steps = steps or max(STEPS, STEPS_A_LANG * len(langs))
+    m = new_model(langs, hidden, seed, noise=True)
     r = np.random.default_rng(seed + 1)
+    noise = noise_windows(SAMPLE_DOCS)
+    windows, y = windows + noise, np.array([*labels, *[len(langs)] * len(noise)])
     x = np.zeros((len(windows), TRAIN_WINDOW), dtype=np.uint8)
     for k, w in enumerate(windows):
-        x[k, : len(w)] = np.frombuffer(w[:TRAIN_WINDOW], dtype=np.uint8)
-    y = np.array(labels)
-    of = [np.flatnonzero(y == k) for k in range(len(langs))]
+        x[k, : len(w)] = np.frombuffer(w[:TRAIN_WINDOW].translate(FOLD), dtype=np.uint8)
+    of = [np.flatnonzero(y == k) for k in range(len(langs) + 1)]
     first, second = [np.zeros_like(w) for w in m.weights()], [np.zeros_like(w) for w in m.weights()]
     for step in range(1, steps + 1):
-        lang = r.integers(0, len(langs), TRAIN_LANES)
+        lang = r.integers(0, len(of), TRAIN_LANES)
         pick = np.array([of[k][r.integers(0, len(of[k]))] for k in lang])
         at = np.ascontiguousarray(x[pick].T)
         _, grads = gradients(m, at, y[pick], IS_LETTER[at])
@@ -167,22 +193,20 @@ def train(windows: list[bytes], labels: list[int], langs: list[str], steps: int
 
 
 def predict(m: Model, texts: list[bytes], spans: bool = False) -> tuple[np.ndarray, np.ndarray, list | None]:
-    """For each text its pooled probabilities (n, K), the share of its letter bytes that each language labels (n, K),
-    and, if ``spans``, its labels as runs ``(start byte, length, language number)``. A text without letters has
-    zeros."""
-    k_langs = len(m.langs)
+    """For each text its pooled probabilities (n, K), the share of its letter bytes that each class labels (n, K),
+    and, if ``spans``, its labels as runs ``(start byte, length, class)``. A text without letters has zeros."""
+    classes = len(m.out)
     counts = np.array([-(-len(t) // WINDOW) for t in texts], dtype=np.int64)
     total = int(counts.sum())
-    sums, votes, letters = (np.zeros((total, k_langs)), np.zeros((total, k_langs)), np.zeros(total))
+    sums, votes, letters = (np.zeros((total, classes)), np.zeros((total, classes)), np.zeros(total))
     flat = np.zeros(total * WINDOW, dtype=np.uint8)
-    real = np.zeros(total * WINDOW, dtype=bool)
     start = (np.cumsum(counts) - counts) * WINDOW
     for t, s in zip(texts, start):
-        flat[s : s + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        real[s : s + len(t)] = True
-    best_all = np.zeros(total * WINDOW, dtype=np.int16) if spans else None
-    for a in range(0, total, LANES):
-        x = np.ascontiguousarray(flat[a * WINDOW : (a + LANES) * WINDOW].reshape(-1, WINDOW).T)
+        flat[s : s + len(t)] = np.frombuffer(t.translate(FOLD), dtype=np.uint8)
+    best_all = np.zeros(total * WINDOW, dtype=np.int32) if spans else None
+    step = max(16, min(LANES, HELD // (WINDOW * classes)))
+    for a in range(0, total, step):
+        x = np.ascontiguousarray(flat[a * WINDOW : (a + step) * WINDOW].reshape(-1, WINDOW).T)
         lanes = x.shape[1]
         p = position_probabilities(m, x)
         mask = IS_LETTER[x]
@@ -190,13 +214,12 @@ def predict(m: Model, texts: list[bytes], spans: bool = False) -> tuple[np.ndarr
         best = p.argmax(axis=1)
         sums[a : a + lanes] = p.sum(axis=0).T
         letters[a : a + lanes] = mask.sum(axis=0)
-        for k in range(k_langs):
-            votes[a : a + lanes, k] = ((best == k) * mask).sum(axis=0)
+        votes[a : a + lanes] = np.bincount((best + np.arange(lanes) * classes)[mask > 0], minlength=lanes * classes).reshape(lanes, classes)
         if spans:
             best_all[a * WINDOW : (a + lanes) * WINDOW] = best.T.reshape(-1)
     owner = np.repeat(np.arange(len(texts)), counts)
-    pooled = np.stack([np.bincount(owner, weights=sums[:, k], minlength=len(texts)) for k in range(k_langs)], axis=1)
-    voted = np.stack([np.bincount(owner, weights=votes[:, k], minlength=len(texts)) for k in range(k_langs)], axis=1)
+    pooled = np.stack([np.bincount(owner, weights=sums[:, k], minlength=len(texts)) for k in range(classes)], axis=1)
+    voted = np.stack([np.bincount(owner, weights=votes[:, k], minlength=len(texts)) for k in range(classes)], axis=1)
     n = np.maximum(np.bincount(owner, weights=letters, minlength=len(texts)), 1.0)[:, None]
     runs = None
     if spans:
@@ -213,20 +236,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, most_langs: int = MOST_LANGS) -> tuple[list[bytes], list[int], list[str]]:
+def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS) -> tuple[list[bytes], list[int], list[str]]:
     """Windows of the bounded sample, their labels and the languages, from rows ``doc_id, text, lang`` that aren't held
-    out and whose lang isn't null. At most ``most_langs * sample_docs * windows`` windows reach the driver; they are cut
-    on the executors."""
+    out and whose text and lang aren't null. At most ``sample_docs * windows`` windows of a language reach the driver,
+    whatever rows repeat; they are chosen and cut on the executors."""
     ship(docs.sparkSession)
-    fit = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    langs = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    if not langs:
-        return [], [], []
-    names = sorted(langs)
-    # rows below a hash bound that is met by about twice the rows wanted; then the smallest hashes of these few
-    mark = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40))
-    bound = F.create_map(*[F.lit(v) for k in names for v in (k, int(min(1.0, (2 * sample_docs + 50) / langs[k]) * (1 << 40)))])
-    near = fit.select("doc_id", "text", "lang", mark.alias("mark")).where(F.col("text").isNotNull() & (F.col("mark") < bound[F.col("lang")]))
+    mark = F.pmod(F.xxhash64(F.col("text"), F.lit(11)), F.lit(1 << 40))
+    fit = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("lang", "text", mark.alias("mark"))
+    # texts below a hash bound that is met by about twice those wanted; then the smallest hashes of these few
+    bounds = fit.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).select("lang", (F.least(F.lit(1.0), F.lit(2 * sample_docs + 50) / F.col("n")) * (1 << 40)).cast("long").alias("bound"))
+    near = fit.join(bounds, "lang").where("mark < bound").dropDuplicates(["lang", "mark"])
+    order = Window.partitionBy("lang").orderBy("mark", "text")
+    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "mark", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,43 +259,39 @@ def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: i
                     rows["lang"].append(lang), rows["mark"].append(mark), rows["part"].append(data[at : at + TRAIN_WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(rows["lang"], pa.string()), pa.array(rows["mark"], pa.int64()), pa.array(rows["part"], pa.binary())], names=["lang", "mark", "part"])
 
-    got = near.mapInArrow(cut, "lang string, mark long, part binary").toPandas()
-    got["part"] = got["part"].map(bytes)
-    got = got.sort_values(["lang", "mark", "part"], kind="stable")
-    keep = got.groupby("lang")["mark"].rank(method="dense") <= sample_docs
-    got = got[keep & (got["part"].map(len) > 0)]
+    got = sorted((r.lang, r.mark, bytes(r.part)) for r in chosen.mapInArrow(cut, "lang string, mark long, part binary").collect())
+    names = sorted({lang for lang, _, _ in got})
     number = {k: i for i, k in enumerate(names)}
-    seen = [k for k in names if k in set(got["lang"])]
-    number = {k: i for i, k in enumerate(seen)}
-    return got["part"].tolist(), [number[k] for k in got["lang"]], seen
+    return [part for _, _, part in got], [number[lang] for lang, _, _ in got], names
 
 
-def fit_language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> Model | None:
+def fit_language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int | None = None) -> Model | None:
     """Trains on the bounded sample of ``docs`` (``doc_id, text, lang``); None if nothing is labelled."""
     windows, labels, langs = training_windows(docs, sample_docs)
     return train(windows, labels, langs, steps) if windows else None
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", spans: bool = False) -> DataFrame:
-    """``keep`` columns, ``lang_pred``, ``score``, ``position_share`` and, if ``spans``, ``label_runs`` of every row.
+    """``keep`` columns, ``lang_pred``, ``score``, ``position_share``, ``noise`` and, if ``spans``, ``label_runs`` of every row.
 
     ``score`` is the pooled probability of ``lang_pred``; ``position_share`` the share of letter bytes labelled with it;
-    ``label_runs`` the labels of all bytes of the UTF-8 text as ``(start, length, lang)``. A text that is null or has
-    no letter is ``und`` with score 0; so is every text without a model. Rows of equal or null ids stay apart, and
-    other columns, whatever their names, are ignored.
+    ``noise`` the pooled probability of being in no language; ``label_runs`` the labels of all bytes of the UTF-8 text as
+    ``(start, length, lang)``, null for noise. A text that is null or has no letter is ``und`` with score 0; so is every
+    text without a model. Rows of equal or null ids stay apart, and other columns, whatever their names, are ignored;
+    ``keep`` columns come first, and one whose name clashes with a result's can be kept inside a struct.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(*keep, F.when(text.rlike(r"\p{L}"), text).cast("binary").alias("_text"))
-    fields = [given.schema[k] for k in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, position_share double" + ", label_runs array<struct<start:int,length:int,lang:string>>" * spans
+    given, kept = beside(docs, keep, F.when(text.rlike(r"\p{L}"), text).cast("binary"))
+    results = T.StructType.fromDDL("lang_pred string, score double, position_share double, noise double" + ", label_runs array<struct<start:int,length:int,lang:string>>" * spans)
+    schema = T.StructType([*kept, *results.fields])
+    names = schema.fieldNames()
     held = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for whole in batches:
-            sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in whole.column("_text")], dtype=np.int64) if whole.num_rows else np.zeros(0, np.int64)
+            column = whole.column(whole.num_columns - 1)
+            sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in column], dtype=np.int64) if whole.num_rows else np.zeros(0, np.int64)
             # slices of about 4 MB of text bound the memory
             part = np.cumsum(sizes) // (4 << 20)
             edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), whole.num_rows]
@@ -282,22 +299,21 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 if a == b:
                     continue
                 batch = whole.slice(a, b - a)
-                texts = [t or b"" for t in batch.column("_text").to_pylist()]
-                lang, score, share, runs = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
+                texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                lang, score, share, noise, runs = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
                 if m is not None:
                     pooled, voted, found = predict(m, texts, spans)
-                    best = pooled.argmax(axis=1)
+                    best = pooled[:, : len(m.langs)].argmax(axis=1)
                     row = np.arange(len(texts))
                     has = np.array([bool(t) for t in texts])
                     lang = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, has)]
                     score, share = np.clip(np.where(has, pooled[row, best], 0.0), 0, 1), np.where(has, voted[row, best], 0.0)
+                    noise = np.clip(pooled[:, len(m.langs) :].sum(axis=1), 0, 1)
                     if spans:
-                        runs = [[{"start": s, "length": n, "lang": m.langs[k]} for s, n, k in r] for r in found]
-                columns = [batch.column(k) for k in range(len(fields))] + [pa.array(lang, pa.string()), pa.array(score), pa.array(share)]
-                names = [*keep, "lang_pred", "score", "position_share"]
+                        runs = [[{"start": s, "length": n, "lang": m.langs[k] if k < len(m.langs) else None} for s, n, k in r] for r in found]
+                columns = [batch.column(k) for k in range(len(kept))] + [pa.array(lang, pa.string()), pa.array(score), pa.array(share), pa.array(noise)]
                 if spans:
                     columns.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))))
-                    names.append("label_runs")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return given.mapInArrow(run, schema)
@@ -306,4 +322,4 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_language_model(docs.select("doc_id", "text", "lang"))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "position_share")
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "position_share", "noise")

@@ -68,3 +68,64 @@ def test_edges(spark, docs, no_docs):
     assert L.identify(no_docs, model).collect() == []
     assert L.fit_language_model(no_docs) is None
     assert {r.lang_pred for r in L.identify(docs, None).collect()} == {"und"}
+
+
+def test_network_against_a_plain_loop():
+    """Pooled probabilities of whole texts, by one state at a time and one byte at a time."""
+    m = L.new_model(["a", "b", "c"], 4, noise=True)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(x, d):
+        out, h = {}, np.zeros(4)
+        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            given, inner = m.table[d][x[t]].astype(float), m.inner[d].astype(float) @ h
+            reset, update = sigmoid(given[:4] + inner[:4]), sigmoid(given[4:8] + inner[4:8])
+            h = (1 - update) * h + update * np.tanh(given[8:] + reset * (inner[8:] + m.bias[d]))
+            out[t] = h
+        return out
+
+    for text in ("Wörter and WORDS 12", "x " * 150, "émoi"):
+        data = text.encode().translate(L.FOLD)
+        total, letters = np.zeros(4), 0
+        for a in range(0, len(data), L.WINDOW):
+            x = data[a : a + L.WINDOW].ljust(L.WINDOW, b"\0")
+            there, back = states(x, 0), states(x, 1)
+            for t, byte in enumerate(x):
+                if byte >= 128 or 97 <= byte <= 122:
+                    e = np.exp(m.out @ np.concatenate([there[t], back[t]]) + m.out_bias)
+                    total, letters = total + e / e.sum(), letters + 1
+        np.testing.assert_allclose(L.predict(m, [text.encode()])[0][0], total / letters, atol=1e-5)
+
+
+def test_languages_are_not_limited(spark):
+    """A language beyond the 64th is learned like any other."""
+    rows = [(100 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}{j} " * 12, f"l{k:03}") for k in range(90) for j in range(4)]
+    parts, labels, langs = L.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 90 and set(labels) == set(range(90))
+    m = L.train(parts, labels, langs, steps=3)
+    assert L.predict(m, [b"some text"])[0].shape == (1, 91)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    same = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'the same text' as text", "'en' as lang")
+    other = spark.range(3000).selectExpr("1L as doc_id", "concat('text number ', id) as text", "'en' as lang")
+    parts, _, _ = L.training_windows(same.union(other), sample_docs=20, windows=3)
+    assert 20 <= len(parts) <= 60
+
+
+def test_noise_is_told_from_languages(spark):
+    d = "/root/testdata/sf0.01"
+    m = L.fit_language_model(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+    runs = [b"deadbeef0123" * 40, b"QWJjZGVm/+9kZmFzZGZhc2Rm" * 20, b"a1b2c3 d4e5f6 " * 20]
+    assert (L.predict(m, runs)[0][:, -1] > 0.8).all()
+    texts = [r.text.encode() for r in spark.read.parquet(f"{d}/documents.parquet").where("length(text) > 60").collect()]
+    noise = L.predict(m, texts)[0][:, -1]
+    assert (noise < 0.5).mean() > 0.995
+    upper = L.predict(m, [t.upper() for t in texts[:200]])[0][:, -1]
+    assert (upper < 0.5).mean() > 0.98
+
+
+def test_kept_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "some words", 5, "x")], "doc_id long, text string, c0 int, value string")
+    r = L.identify(d, None, keep=("value", "c0", "text", "doc_id")).first()
+    assert (r.value, r.c0, r.text, r.doc_id, r.lang_pred) == ("x", 5, "some words", 1, "und")
