@@ -12,7 +12,7 @@ _WHERE = {
     "op3_language_id": ("language_id", "op3_language_id", None),
     "op4_license_scan": ("license_scan", "op4_license_scan", None),
     "op5_embedding_dedup": ("embedding_dedup", "op5_embedding_dedup", "ORACLE"),
-    "op6_jaccard_join": ("jaccard_join", "op6_jaccard_join", None),
+    "op6_jaccard_join": ("jaccard_join", "op6_jaccard_join", "ORACLE"),
     "op7_warc": ("warc", "op7_warc", "ORACLE"),
     "op8_packing": ("packing", "op8_packing", None),
     "op9_url_filter": ("url_filter", "op9_url_filter", "ORACLE"),
