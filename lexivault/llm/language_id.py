@@ -52,7 +52,7 @@ IS_LETTER = (((_value | 32) >= 97) & ((_value | 32) <= 122) | (_value >= 128)).a
 class Model:
     """``table`` (2, 256, 3H): input weights and biases of reset, update and candidate; ``inner`` (2, 3H, H): recurrent
     weights; ``bias`` (2, H): the candidate's recurrent bias; ``out`` (K, 2H) and ``out_bias`` (K), where K is one more than
-    the languages if the last class is noise."""
+    the languages if the last class is noise; ``fitted``: windows of text that it was trained on."""
 
     langs: list[str]
     table: np.ndarray
@@ -60,6 +60,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    fitted: int = 0
 
     def weights(self) -> list[np.ndarray]:
         return [self.table, self.inner, self.bias, self.out, self.out_bias]
@@ -169,6 +170,7 @@ def train(windows: list[bytes], labels: list[int], langs: list[str], steps: int
     Languages weigh the same, however many windows they have. The result depends on the arguments only."""
     steps = steps or max(STEPS, STEPS_A_LANG * len(langs))
     m = new_model(langs, hidden, seed, noise=True)
+    m.fitted = len(windows)
     r = np.random.default_rng(seed + 1)
     noise = noise_windows(SAMPLE_DOCS)
     windows, y = windows + noise, np.array([*labels, *[len(langs)] * len(noise)])

@@ -5,7 +5,8 @@ blocks of ``block`` words. A source whose target is ``t`` words needs ``q`` slot
 Slot ``i`` carries the golden-ratio point ``i * g mod Q`` with ``g`` the integer nearest ``Q / golden ratio`` that is
 coprime to ``Q``: the integer form of the Kronecker sequence, which visits each of the ``Q`` cells once. The point is
 mapped through the cumulative slot counts to its source; slots are ranked within their source, and rank ``k`` takes
-block ``k mod blocks`` of its source. The last slot of a source is cut to the exact target.
+block ``k mod blocks`` of its source. The last slot of a source is cut to the exact target. Joining slots and blocks gives
+the mix: for every slot the pieces of documents that its words come from.
 
 Ranks and stream positions are running counts over very large groups, so they are computed in two levels: per bucket
 (partial sums that Spark combines before shuffling) and within a bucket. No task holds a whole source.
@@ -68,11 +69,11 @@ def _step(q: int) -> int:
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix's slots, in no order: ``slot, pos, rank, block, words``.
+    """The mix's slots, in no order: ``slot, pos, rank, turn, block, words``.
 
     ``targets``: as of ``source_targets``, with ``source_size`` and ``target``. Slot numbers count from 0 and are
-    the order of the mix; ``rank`` counts a source's slots, ``block`` is the block of its stream and ``words`` the most
-    that the slot takes of it (less than ``block`` only in a source's last slot).
+    the order of the mix; ``rank`` counts a source's slots, ``turn`` how often its stream went by before, ``block`` is the
+    block of its stream and ``words`` the most that the slot takes of it (less than ``block`` only in a source's last slot).
     """
     spark = targets.sparkSession
     want = F.round("target").cast("long")
@@ -96,31 +97,63 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = slots.withColumn("slot", (wide % F.lit(max(q, 1)).cast("decimal(19,0)")).cast("long")).withColumn("run", F.expr(f"slot div {RUN}")).withColumn("one", F.lit(1).cast("long"))
     slots = _running(slots, ["pos"], "run", [F.col("slot")], "one", "rank")
     last = (F.col("rank") == F.col("quota") - 1) & (F.col("tail") > 0)
-    return slots.select("slot", "pos", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.when(last, F.col("tail")).otherwise(F.lit(block)).cast("long").alias("words"))
+    return slots.select("slot", "pos", "rank", F.expr("rank div blocks").alias("turn"), (F.col("rank") % F.col("blocks")).alias("block"), F.when(last, F.col("tail")).otherwise(F.lit(block)).cast("long").alias("words"))
+
+
+def _place(docs: DataFrame, share: float, cap: float, weights: tuple[float, ...], block: int, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The targets of the sources, every row's place in its source's shuffled stream (``row, pos, doc_id, source, size,
+    text_hash, start``), and the mix's pieces."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(key).alias("shuffle"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
+    targets = stored(source_targets(sized, share, cap, weights), "mix-targets")
+    named = sized.join(targets.select(F.col("source").alias("_source"), "pos"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    named = named.withColumn("bucket", (F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int"))
+    placed = _running(named, ["pos"], "bucket", [F.col("shuffle"), F.asc_nulls_first("doc_id"), F.col("size"), F.col("text_hash")], "size", "start")
+    placed = stored(placed.withColumn("row", F.monotonically_increasing_id()), "mix-placed")
+    parts = placed.where("size > 0").select("row", "pos", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
+    lead = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    stop = F.least(F.col("end") - F.col("block") * block, F.lit(block), F.col("words"))
+    pieces = parts.join(schedule(targets, block), ["pos", "block"]).where(stop > lead)
+    pieces = pieces.select("slot", "turn", lead.alias("offset"), "row", (F.col("block") * block + lead - F.col("start")).alias("first_word"), (stop - lead).cast("long").alias("words"))
+    return targets, placed, pieces
+
+
+def mixed_pieces(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """The mix itself: ``slot, offset, doc_id, source, first_word, words``, a row for every piece of a document in a slot.
+    In order of ``slot, offset`` the pieces are the mixed stream: ``words`` words of the document from its ``first_word``
+    (counted from 0) on. Rows and nulls are treated as by ``mix``."""
+    _, placed, pieces = _place(docs, share, cap, weights, block, buckets)
+    return pieces.join(placed.select("row", "doc_id", "source"), "row").select("slot", "offset", "doc_id", "source", "first_word", "words")
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """Whole documents in the mix: each row of ``docs`` once for every time that slots take words of it, with all its columns,
+    in runs that follow the slots which the copies begin in. Rows that are equal in doc_id, source and text go together."""
+    _, placed, pieces = _place(docs, share, cap, weights, block, buckets)
+    turns = pieces.groupBy("row", "turn").agg(F.min("slot").alias("slot"))
+    copies = turns.join(placed.select("row", "doc_id", "source", "size", "text_hash"), "row").groupBy("doc_id", "source", "size", "text_hash", "turn").agg(F.min("slot").alias("slot"))
+    names = ("doc_id", "source", "size", "text_hash")
+    copies = stored(copies.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], "slot"), "mix-copies")
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+    own = (F.col("row.doc_id"), F.col("row.source"), word_count(F.col("row.text")), F.xxhash64("row.text"))
+    rows = rows.select("row", *[c.alias(f"r{k}") for k, c in enumerate(own)])
+    same = F.col("r0").eqNullSafe(F.col("c0")) & F.col("r1").eqNullSafe(F.col("c1")) & (F.col("r2") == F.col("c2")) & (F.col("r3") == F.col("c3"))
+    mixed = rows.join(copies, same).select("row", "slot").withColumn("run", F.expr(f"slot div {RUN // 16}"))
+    return mixed.repartition("run").sortWithinPartitions("slot").select("row.*")
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source`` for every row of ``docs`` (``doc_id, text, source``).
 
-    ``taken`` is the number of the row's words in the mix, repeats counted: the words that the scheduled blocks have in
-    common with the row's place in its source's shuffled stream. A source takes its target exactly, rounded to a word.
+    ``taken`` is the number of the row's words in the mix, repeats counted: those of its pieces in the scheduled slots. A
+    source takes its target exactly, rounded to a word.
 
     Null text counts 0 words, and a row of 0 words takes 0; null sources are one source, last in order; a null doc_id
     is shuffled as the text ``null``; repeated doc_ids are rows of their own (among rows of equal doc_id, the smaller
     goes first). Other columns of ``docs`` are ignored, whatever their names. No rows give no rows.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(key).alias("shuffle")), "mix-sizes")
-    targets = stored(source_targets(sized, share, cap, weights), "mix-targets")
-    named = sized.join(F.broadcast(targets.select(F.col("source").alias("_source"), "pos")) if targets.count() <= 10_000 else targets.select(F.col("source").alias("_source"), "pos"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    named = named.withColumn("bucket", (F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int"))
-    placed = _running(named, ["pos"], "bucket", [F.col("shuffle"), F.asc_nulls_first("doc_id"), F.col("size")], "size", "start")
-    placed = stored(placed.withColumn("row", F.monotonically_increasing_id()), "mix-placed")
-    uses = schedule(targets, block).groupBy("pos", "block").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("whole"), F.sum(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("cut"))
-    pieces = placed.where("size > 0").select("row", "pos", "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    lead = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    stop = F.least(F.col("end") - F.col("block") * block, F.lit(block))
-    taken = pieces.join(uses, ["pos", "block"]).select("row", ((stop - lead) * F.col("whole") + F.greatest(F.least(stop, F.col("cut")) - lead, F.lit(0))).alias("words")).groupBy("row").agg(F.sum("words").alias("taken"))
+    targets, placed, pieces = _place(docs, share, cap, weights, block, buckets)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     info = targets.select("pos", "source_size", "target")
     return placed.join(taken, "row", "left").join(info, "pos").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 

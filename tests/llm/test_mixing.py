@@ -82,3 +82,34 @@ def test_word_count(spark):
     texts = ["", " ", "a", " a  b\tc\n", "é ü", "a b c", "x\x0by\x0cz"]
     got = [r.n for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(mixing.word_count(F.col("t")).alias("n")).collect()]
     assert got == [0, 0, 1, 3, 2, 2, 3]
+
+
+def test_pieces_are_the_mix(spark):
+    """Pieces fill their slots without gaps, cover a document's words in order, and add up to what documents take."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = sorted((r.slot, r.offset, r.doc_id, r.first_word, r.words) for r in mixing.mixed_pieces(d, block=64).collect())
+    taken, filled = defaultdict(int), defaultdict(int)
+    for slot, offset, doc, first, words in pieces:
+        assert offset == filled[slot] and words > 0
+        filled[slot] += words
+        taken[doc] += words
+    assert max(filled.values()) == 64 and sorted(filled) == list(range(len(filled)))
+    sizes = {r.doc_id: r.size for r in mixing.mix(d).collect()}
+    whole = defaultdict(lambda: defaultdict(int))
+    for _, _, doc, first, words in pieces:
+        for w in range(first, first + words):
+            whole[doc][w] += 1
+    assert all(max(c) < sizes[doc] and max(c.values()) <= 2 for doc, c in whole.items())
+    assert taken == {r.doc_id: r.taken for r in mixing.mix(d, block=64).collect() if r.taken}
+    plan = mixing.mixed_pieces(d)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_documents_stand_as_often_as_they_are_taken(spark, docs):
+    d = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    times = defaultdict(int)
+    for r in mixing.mixed_documents(d).collect():
+        times[(r.doc_id, r.text)] += 1
+    takes = {(r.doc_id, r.size): -(-r.taken // r.size) for r in mixing.mix(d).collect() if r.taken}
+    assert sorted(times.values()) == sorted(takes.values())
+    assert mixing.mixed_documents(d).columns == d.columns
