@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``. Null ids and texts, repeated rows and empty
-tables have the results that the operators' docstrings state; columns that a stage doesn't know pass through it.
+tables have the results that the operators' docstrings state. Columns that a stage doesn't know pass through it, whatever
+their names: a row travels as one struct beside the columns that the stage adds.
 """
 
 from __future__ import annotations
@@ -13,41 +14,58 @@ from pyspark.sql import functions as F
 from lexivault.llm._shared import stored
 from lexivault.llm.jaccard_join import jaccard_components
 from lexivault.llm.language_id import UNKNOWN, fit_language_model, identify
-from lexivault.llm.mixing import mix, word_count
+from lexivault.llm.mixing import mixed_documents
 from lexivault.llm.packing import pack
 
+#: The languages that the corpus keeps; None for all that its labels teach.
+LANGUAGES: tuple[str, ...] | None = None
+#: A text of at least so many letters goes where the network puts it in no language with this probability, or in one that
+#: isn't kept. Fewer letters don't tell.
+LEAST_LETTERS, MOST_NOISE = 64, 0.8
+#: Windows of text that the network must have been fitted on before its word counts against a text.
+LEAST_FITTED = 200
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: null texts and those without a letter. The others stay as they are, short and mixed
-    ones too. Where nothing is labelled, no language is known, and only such documents go as well."""
+    """Rejects documents of no language: null texts, those without a letter and, by the network's pooled probabilities,
+    those of ``LEAST_LETTERS`` letters or more that are keys, dumps or other runs in no language, or in a language that
+    isn't among ``LANGUAGES``. All others stay as they are, short and mixed ones too. Where nothing or too little is
+    labelled to know a language, only texts without a letter go."""
+    row = docs.select(F.struct(*_all(docs)).alias("row"), "text")
     model = fit_language_model(docs.select("doc_id", "text", "lang"))
-    if model is None:
+    if model is None or model.fitted < LEAST_FITTED:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, model, keep=tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    seen = identify(row, model, keep=("row",))
+    unwanted = F.col("noise") >= MOST_NOISE
+    if LANGUAGES is not None:
+        unwanted |= ~F.col("lang_pred").isin(*LANGUAGES)
+    long = F.length(F.regexp_replace("row.text", r"\P{L}+", "")) >= LEAST_LETTERS
+    return seen.where((F.col("lang_pred") != UNKNOWN) & ~(unwanted & long)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose sets of five-word shingles link them at a similarity of 0.8 or more, that with the
-    smallest doc_id stays; of rows that repeat its id, one. Rows with a null doc_id stay."""
+    smallest doc_id stays. It is decided by doc_id and text, so of a repeated doc_id only the texts that are copies go; of
+    rows with equal doc_id and text one stays, that with the smallest hash of all its columns. Rows with a null doc_id
+    stay."""
     found = jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.select(F.struct(*_all(docs)).alias("row"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+    left = rows.join(gone, (F.col("row.doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
     if again.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return left.select("row.*")
+    same = F.col("row.doc_id") == F.col("_id")
+    several = left.join(again, same, "left_semi")
+    order = F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))
+    once = several.groupBy("row.doc_id", "hash").agg(F.min_by("row", order).alias("row")).select("row")
+    return left.join(again, same, "left_anti").select("row").union(once).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands in the mix as often as the schedule takes words of it: not at all, once or twice. One that the
-    schedule's end cuts, one a source at most, stands whole."""
-    key = ["doc_id", "source", "size"]
-    takes = mix(docs.select("doc_id", "text", "source")).groupBy(*key).agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
-    times = stored(takes.where("taken > 0").select(*[F.col(k).alias(f"_{k}") for k in key], F.ceil(F.col("taken") / (F.col("size") * F.col("n"))).cast("int").alias("_times")), "mix-times")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """A document stands in the mix as often as the schedule takes words of it: not at all, once or twice, in the order of
+    the slots that its copies begin in. One that the schedule's end cuts, one a source at most, stands whole."""
+    return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +73,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs.select("doc_id", "text"))
 
 
+def _all(docs: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 STAGES = [
     ("language identification", language_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
