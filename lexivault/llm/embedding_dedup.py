@@ -1,11 +1,14 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill.
 
 1. Equal vectors of a label are one class; from here on a class stands for its copies.
-2. A forest is fitted on a bounded sample of classes. A node splits at the median of the projection on a random
-   direction; what lies within ``SPILL`` of the median goes both ways. Two unit vectors with cosine ``c`` differ by at
-   most ``sqrt(2 - 2c)`` in any projection and by a fraction of that in most, so a pair is rarely cut in one tree and hardly
-   ever in all. Trees are as deep as the largest label needs for leaves of about ``LEAF`` classes.
-3. Every class goes to its leaves, by label. Within a leaf all pairs are verified by exact cosines in double precision;
+2. A forest of ``TREES`` trees, each over all classes of a label. A node splits at the median of the projection on a
+   random direction that its place in the tree gives; what lies within the spill of the median goes both ways. Two unit
+   vectors with cosine ``c`` differ by at most ``sqrt(2 - 2c)`` and, along a random direction, by that over the square root
+   of the dimension in root mean square; the spill is ``SPILL`` of this. So a pair is rarely cut in one tree and hardly
+   ever in all, and few classes go both ways. Splits recurse until leaves hold at most ``LEAF`` classes, whatever their
+   number: nodes of more than ``TASK_BYTES`` are split by rounds, several levels at a time, at medians of a sample of
+   their own; smaller ones whole, in one task each.
+3. Within a leaf all pairs are verified by exact cosines in double precision;
    a large leaf is cut into blocks, and each two blocks are a task of their own. A pair that meets in several leaves counts
    in the first only, which each class's list of leaves tells without a shuffle of pairs. Tasks return sums and local
    components, never pairs.
@@ -24,65 +27,70 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from ._shared import connected_components, stored
 
-TREES = 4
-SPILL = 0.05
-LEAF = 512
-#: Classes that the forest is fitted on at most, and nodes of a tree.
-SAMPLE, MOST_NODES = 8192, 1 << 13
+TREES, SPILL, LEAF = 4, 0.5, 40
+#: Bytes of vectors that one task splits; larger nodes are split by rounds of ``LEVELS`` levels at medians of about
+#: ``SAMPLE`` classes of each.
+TASK_BYTES, LEVELS, SAMPLE = 48 << 20, 6, 4096
+#: Levels of a tree at most. A node that a split hardly divides is a leaf, however large: its vectors are too close.
+MOST_LEVELS, DIVIDES = 56, 0.9
 #: Classes in a task's block.
 BLOCK = 1536
 SALT = 16
-#: Leaves of tree t are numbered from t * this.
-_PER_TREE = 1 << 24
 
-Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
+def direction(dim: int, tree: int, node: int) -> np.ndarray:
+    """The random unit direction of a node: its number is 1 for the root, ``2 k`` and ``2 k + 1`` below ``k``."""
+    v = np.random.default_rng([5, tree, node >> 32, node & 0xFFFFFFFF]).standard_normal(dim)
+    return v / np.linalg.norm(v)
 
-def fit_tree(x: np.ndarray, largest: int, rng: np.random.Generator) -> Tree:
-    """Directions, thresholds and children of a tree fitted on unit vectors ``x``: a child of ``-k - 1`` is leaf ``k``.
-    ``largest``: classes of the largest label, which the leaves' shares of the sample are held against."""
-    directions, thresholds, children = [], [], []
-    leaves = 0
 
-    def grow(rows: np.ndarray) -> int:
-        nonlocal leaves
-        if len(rows) * largest > LEAF * len(x) and len(rows) >= 16 and len(thresholds) < MOST_NODES:
-            direction = rng.standard_normal(x.shape[1])
-            direction /= np.linalg.norm(direction)
-            projected = x[rows] @ direction
+def sides(projected: np.ndarray, middle: float, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    return projected <= middle + spill, projected > middle - spill
+
+
+def leaves_of(x: np.ndarray, tree: int, node: int, spill: float, leaf: int = LEAF) -> list[tuple[int, np.ndarray]]:
+    """Splits the unit vectors ``x`` below a node until leaves hold at most ``leaf``: node numbers with the rows of each."""
+    found, todo = [], [(node, np.arange(len(x)))]
+    while todo:
+        at, rows = todo.pop()
+        if len(rows) > leaf and at < 1 << MOST_LEVELS:
+            projected = x[rows] @ direction(x.shape[1], tree, at)
+            left, right = sides(projected, float(np.median(projected)), spill)
+            if max(left.sum(), right.sum()) < DIVIDES * len(rows):
+                todo += [(2 * at, rows[left]), (2 * at + 1, rows[right])]
+                continue
+        found.append((at, rows))
+    return found
+
+
+def medians(x: np.ndarray, tree: int, node: int, spill: float, levels: int = LEVELS) -> list[float]:
+    """Medians of the nodes of some levels below ``node``, as a heap; NaN where a node isn't to be split."""
+    found = [float("nan")] * ((1 << levels) - 1)
+    todo = [(0, node, np.arange(len(x)))]
+    while todo:
+        place, at, rows = todo.pop()
+        if place < len(found) and len(rows) >= 32 and at < 1 << MOST_LEVELS:
+            projected = x[rows] @ direction(x.shape[1], tree, at)
             middle = float(np.median(projected))
-            left, right = rows[projected <= middle + SPILL], rows[projected > middle - SPILL]
-            if max(len(left), len(right)) < 0.9 * len(rows):  # else the rows are too close to be told apart by a split
-                at = len(thresholds)
-                directions.append(direction)
-                thresholds.append(middle)
-                children.append([0, 0])
-                children[at] = [grow(left), grow(right)]
-                return at
-        leaves += 1
-        return -leaves
-
-    root = grow(np.arange(len(x)))
-    if root < 0:
-        return np.zeros((0, x.shape[1])), np.zeros(0), np.zeros((0, 2), dtype=np.int64)
-    return np.array(directions), np.array(thresholds), np.array(children)
-
-
-def leaves_of(tree: Tree, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The leaves of ``tree`` with the rows of ``x`` that go to each."""
-    directions, thresholds, children = tree
-    if not len(thresholds):
-        return [(0, np.arange(len(x)))]
-    found, todo = [], [(0, np.arange(len(x)))]
+            left, right = sides(projected, middle, spill)
+            if max(left.sum(), right.sum()) < DIVIDES * len(rows):
+                found[place] = middle
+                todo += [(2 * place + 1, 2 * at, rows[projected <= middle]), (2 * place + 2, 2 * at + 1, rows[projected > middle])]
+    return found
+
+
+def descend(x: np.ndarray, tree: int, node: int, spill: float, middle: list[float]) -> list[tuple[int, np.ndarray]]:
+    """The nodes that the unit vectors ``x`` reach below ``node`` by a heap of medians."""
+    found, todo = [], [(0, node, np.arange(len(x)))]
     while todo:
-        node, rows = todo.pop()
+        place, at, rows = todo.pop()
         if not len(rows):
             continue
-        if node < 0:
-            found.append((-node - 1, rows))
+        if place >= len(middle) or np.isnan(middle[place]):
+            found.append((at, rows))
             continue
-        off = x[rows] @ directions[node] - thresholds[node]
-        todo += [(int(children[node][0]), rows[off <= SPILL]), (int(children[node][1]), rows[off > -SPILL])]
+        left, right = sides(x[rows] @ direction(x.shape[1], tree, at), middle[place], spill)
+        todo += [(2 * place + 1, 2 * at, rows[left]), (2 * place + 2, 2 * at + 1, rows[right])]
     return found
 
 
@@ -141,18 +149,80 @@ def compare_block(x: np.ndarray, y: np.ndarray | None, least: float, lists: list
     else:
         across = (x @ y.T) / np.outer(norm[:n], norm[n:]) >= least
         link[:n, n:], link[n:, :n] = across, across.T
-    if not link.any():
+    some = np.flatnonzero(link.any(axis=1))
+    if not len(some):
         return link, link
-    earlier = [own[own < leaf] for own in lists]
-    codes, at = np.unique(np.concatenate(earlier), return_inverse=True)
-    if not len(codes):
-        return link, link
-    member = np.zeros((len(whole), len(codes)), dtype=np.float32)
-    member[np.repeat(np.arange(len(whole)), [len(e) for e in earlier]), at] = 1
-    return link, link & ~((member @ member.T) > 0)
-
-
-def link_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = TREES, seed: int = 5) -> DataFrame:
+    earlier = [own[own < leaf] for own in (lists[k] for k in some)]
+    code, owner = np.concatenate(earlier), np.repeat(some, [len(e) for e in earlier])
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    counted = link.copy()
+    cut = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else []
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b - a > 1:
+            counted[np.ix_(owner[a:b], owner[a:b])] = False
+    return link, counted
+
+
+_NODE = ("label", "dim", "tree", "node")
+
+
+def _placed(classes: DataFrame, least: float, trees: int) -> DataFrame:
+    """``label, dim, cid, rep, copies, vec, leaves`` of every class: the sorted codes of the leaves that it is in."""
+    length = max(0.0, 2 - 2 * least) ** 0.5
+    unit = lambda vec, dim: _unit(np.frombuffer(b"".join(v.as_py() for v in vec)).reshape(-1, dim))
+    at = classes.select("label", "dim", "cid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumns({"node": F.lit(1).cast("long"), "final": F.lit(False)})
+    narrow = "label string, dim int, cid long, tree int, node long, final boolean"
+    vectors = classes.select("cid", "vec")
+
+    def fit(table: pa.Table) -> pa.Table:
+        label, dim, tree, node = (table.column(c)[0].as_py() for c in _NODE)
+        found = medians(unit(table.column("vec"), dim), tree, node, SPILL * length / dim**0.5)
+        return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "tree": pa.array([tree], pa.int32()), "node": [node], "middle": pa.array([found], pa.list_(pa.float64()))})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in _NODE))):
+                rows.setdefault(key, []).append(k)
+            for (label, dim, tree, node), own in rows.items():
+                part = batch.take(pa.array(own))
+                reached = descend(unit(part.column("vec"), dim), tree, node, SPILL * length / dim**0.5, part.column("middle")[0].as_py())
+                code = np.concatenate([np.full(len(r), n) for n, r in reached])
+                cid = part.column("cid").take(pa.array(np.concatenate([r for _, r in reached])))
+                n = len(code)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array([dim] * n, pa.int32()), cid, pa.array([tree] * n, pa.int32()), pa.array(code), pa.array(code == node)], names=["label", "dim", "cid", "tree", "node", "final"])
+
+    done = None
+    while True:
+        sizes = at.groupBy(*_NODE).agg(F.count("*").alias("n"), F.first("final").alias("final"))
+        large = stored(sizes.where(F.col("n") * F.col("dim") * 8 > TASK_BYTES), "embedding-large")
+        # a node that can't be split is a leaf as it stands
+        stays = at.join(large.where("final").select(*_NODE), list(_NODE), "left_semi")
+        done = stays if done is None else done.union(stays)
+        todo = large.where("not final").select(*_NODE, "n")
+        rest = at.join(large.select(*_NODE), list(_NODE), "left_anti")
+        if todo.isEmpty():
+            break
+        sample = at.join(F.broadcast(todo), list(_NODE)).where(F.pmod(F.xxhash64("cid", F.lit(3)), F.col("n")) < SAMPLE)
+        middle = sample.join(vectors, "cid").select(*_NODE, "vec").groupBy(*_NODE).applyInArrow(fit, "label string, dim int, tree int, node long, middle array<double>")
+        deeper = at.join(F.broadcast(stored(middle, "embedding-medians")), list(_NODE)).join(vectors, "cid")
+        at = stored(rest.unionByName(deeper.select("label", "dim", "cid", "tree", "node", "middle", "vec").mapInArrow(split, narrow)), "embedding-nodes")
+
+    def finish(table: pa.Table) -> pa.Table:
+        label, dim, tree, node = (table.column(c)[0].as_py() for c in _NODE)
+        found = leaves_of(unit(table.column("vec"), dim), tree, node, SPILL * length / dim**0.5)
+        code = np.concatenate([np.full(len(r), n) for n, r in found])
+        return pa.table({"cid": table.column("cid").take(pa.array(np.concatenate([r for _, r in found]))), "tree": pa.array([tree] * len(code), pa.int32()), "node": pa.array(code)})
+
+    leaves = rest.join(vectors, "cid").select("label", "dim", "tree", "node", "cid", "vec").groupBy(*_NODE).applyInArrow(finish, "cid long, tree int, node long")
+    leaves = leaves.unionByName(done.select("cid", "tree", "node"))
+    code = F.shiftleft(F.col("tree").cast("long"), MOST_LEVELS + 2).bitwiseOR(F.col("node"))
+    lists = leaves.groupBy("cid").agg(F.sort_array(F.collect_set(code)).alias("leaves"))
+    return classes.select("label", "dim", "cid", "rep", "copies", "vec").join(lists, "cid")
+
+
+def link_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = TREES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row: rows with equal labels are linked if their cosine, in double
     precision, is at least ``least`` and the forest brings them together. No pair below ``least`` is linked.
 
@@ -166,35 +236,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     made = given.mapInArrow(_clean, "vec_id long, label string, valid boolean, dim int, print string, vec binary")
     rows = stored(made.withColumn("valid", F.col("valid") & F.col("vec_id").isNotNull()), "embedding-rows")
     classes = stored(rows.where("valid").groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).withColumn("cid", F.monotonically_increasing_id()), "embedding-classes")
-    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    sample = [(r.dim, np.frombuffer(r.vec)) for r in classes.select("dim", "vec", F.xxhash64("rep", F.lit(3)).alias("h"), "print").orderBy("h", "print").limit(SAMPLE).collect()]
-    rng = np.random.default_rng(seed)
-    forest = {}
-    for dim in sorted({d for d, _ in sample}):
-        x = _unit(np.array([v for d, v in sample if d == dim]))
-        forest[dim] = [fit_tree(x, largest, rng) for _ in range(trees)]
-    held = spark.sparkContext.broadcast(forest)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = _unit(np.frombuffer(b"".join(v.as_py() for v in part.column("vec"))).reshape(-1, dim))
-                code, row = [], []
-                # a length that the sample hasn't got has one leaf a label
-                for t, tree in enumerate(held.value.get(int(dim), [(None, np.zeros(0), None)])):
-                    for leaf, own in leaves_of(tree, x):
-                        code.append(np.full(len(own), t * _PER_TREE + leaf))
-                        row.append(own)
-                code, row = np.concatenate(code), np.concatenate(row)
-                order = np.lexsort((code, row))
-                code, row = code[order], row[order]
-                offsets = np.searchsorted(row, np.arange(len(x) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "dim", "cid", "rep", "copies", "vec")] + [lists], names=["label", "dim", "cid", "rep", "copies", "vec", "leaves"])
-
-    placed = stored(classes.select("label", "dim", "cid", "rep", "copies", "vec").mapInArrow(deal, "label string, dim int, cid long, rep long, copies long, vec binary, leaves array<long>"), "embedding-leaves")
+    placed = stored(_placed(classes, least, trees), "embedding-leaves")
     sizes = placed.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("label", "dim", "leaf").agg(F.count("*").alias("n")).where("n > 1")
     blocks = sizes.select("label", "dim", "leaf", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     narrow = placed.select("label", "dim", "cid", F.explode("leaves").alias("leaf")).join(blocks, ["label", "dim", "leaf"])

@@ -61,12 +61,7 @@ def test_recall_on_near_copies(spark):
     for _ in range(800):
         rows.append((len(rows), r.standard_normal(32).astype(np.float32).tolist(), int(r.integers(0, 2))))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    before = E.LEAF
-    E.LEAF = 64
-    try:
-        mine = got(E.link_vectors(df))
-    finally:
-        E.LEAF = before
+    mine = got(E.link_vectors(df))
     true = brute(rows)
     found, there = sum(n for _, n, _ in mine), sum(n for _, n, _ in true)
     assert there > 300 and found >= 0.99 * there
@@ -89,3 +84,44 @@ def test_oracle(spark, sf):
 
     n, m, different = compare(spark, E.op5_embedding_dedup, E.ORACLE, f"/root/testdata/{sf}")
     assert n == m > 0 and not different
+
+
+def near_copies(r, n, dim, labels=1):
+    """Vectors of which many are near another, at all cosines around the bound."""
+    x = r.standard_normal((n, dim))
+    at = r.permutation(n)[: n // 3]
+    x[at] = x[(at + 1) % n] + r.standard_normal((len(at), dim)) * r.uniform(0.02, 0.3, (len(at), 1))
+    return [(k, x[k].astype(np.float32).tolist(), int(k % labels)) for k in range(n)]
+
+
+def test_forest_at_production_parameters(spark):
+    """Thousands of vectors of a label, trees of several levels: links found against all there are."""
+    rows = near_copies(np.random.default_rng(4), 4000, 64)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    mine = {r.vec_id: r for r in E.link_vectors(df).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    true = link.sum(axis=1)
+    found = np.array([mine[k].n_links for k in range(len(rows))])
+    assert true.sum() > 600 and (found <= true).all() and found.sum() >= 0.98 * true.sum()
+    spill = E.SPILL * 0.2 / 8
+    reached = E.leaves_of(x, 0, 1, spill)
+    assert len(reached) > 50 and max(len(r) for _, r in reached) <= E.LEAF
+    assert sum(len(r) for _, r in reached) < 3 * len(x)  # the spill copies few
+
+
+def test_large_nodes_are_split_by_rounds(spark, monkeypatch):
+    """Nodes too large for a task, a hot one among them, and one of vectors too close to be split."""
+    monkeypatch.setattr(E, "TASK_BYTES", 100 * 16 * 8)
+    monkeypatch.setattr(E, "BLOCK", 64)
+    r = np.random.default_rng(6)
+    rows = near_copies(r, 900, 16, 2)
+    centre = r.standard_normal(16)
+    rows += [(1000 + k, (centre + r.standard_normal(16) * 0.001).astype(np.float32).tolist(), 7) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    mine, true = got(E.link_vectors(df)), brute(rows)
+    assert all(a[1] <= b[1] for a, b in zip(mine, true))
+    assert sum(a[1] for a in mine) >= 0.98 * sum(b[1] for b in true)
+    assert [a for a in mine if int(a[0]) >= 1000] == [b for b in true if int(b[0]) >= 1000]
