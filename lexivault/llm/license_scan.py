@@ -1,7 +1,7 @@
 """License scans by template-markup matching.
 
-A template is a text with regions: ``[[ ... ]]`` may be left out (regions nest), and ``{{name:least-most}}`` stands for
-that many words of any kind, such as a holder's name. It is compiled to a token automaton: a state per mandatory or
+A template is a text with regions: ``[[ ... ]]`` may be left out, of ``(( ... | ... ))`` one wording must stand (regions
+nest), and ``{{name:least-most}}`` stands for that many words of any kind, such as a holder's name. It is compiled to a token automaton: a state per mandatory or
 optional word, transitions over words, and skips over optional regions. A text is accepted from a word on if the
 mandatory words follow one another exactly as the template has them. Matching is over words, so case, punctuation
 and line breaks don't count. Of the matches that begin at a word the longest is taken.
@@ -31,30 +31,85 @@ FOLD = np.where(_is_word, np.where((_byte >= 0x41) & (_byte <= 0x5A), _byte + 32
 #: The contract's base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, anchor, template. The wording is that of the licenses' own notices.
+_AS_IS = "software is provided as is"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "[[3]] neither the name of {{holder:1-20}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this software is provided by {{holder:2-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:2-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+)
+_GNU_NOTICE = "[[you can]] redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation (( either version {version} of the license or at your option any later version | version {version} of the license ))"
+_V = "(( {0} [[0]] | v{0} [[0]] | v {0} [[0]] | version {0} [[0]] ))"
+
+#: Label, anchor (words that every accepted text has), template. The wording is that of the licenses themselves, of the
+#: notices that they ask for, and of their names and identifiers. A text whose mandatory words differ isn't accepted.
 TEMPLATES = (
-    ("mit", "mit license", "[[this software is]] [[released | licensed | distributed | available]] [[under]] [[the]] [[terms of the]] mit license"),
+    # whole licenses
     (
         "mit",
         "permission is hereby granted free of charge",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [[the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software]] [[the software is provided as is without warranty of any kind express or implied {{warranty:0-80}} or other dealings in the software]]",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the "
+        + _AS_IS
+        + " without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{holder:2-20}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-clause", "redistribution and use in source and binary forms", f"{_BSD[0]} {_BSD[2]}"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms", f"{_BSD[0]} {_BSD[1]} {_BSD[2]}"),
+    (
+        "isc",
+        "this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify [[and or | and | or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+        + _AS_IS
+        + " and {{holder:1-8}} (( disclaims | disclaim )) all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{holder:1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ),
-    ("apache-2.0", "apache license", "[[licensed under the]] [[the]] apache license [[version]] 2 0 [[the license you may not use this file except in compliance with the license]]"),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose",
+        "this software is provided as is without any express or implied warranty in no event will {{holder:1-8}} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    ),
+    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    # notices
+    (
+        "apache-2.0",
+        "except in compliance with the license",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{address:1-8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("gpl-2.0", "general public license as published", _GNU_NOTICE.format(kind="general", version="2")),
+    ("gpl-3.0", "general public license as published", _GNU_NOTICE.format(kind="general", version="3")),
+    ("lgpl", "public license as published", _GNU_NOTICE.format(kind="(( lesser | library )) general", version="(( 2 [[1]] | 3 ))")),
+    ("agpl", "affero general public license as published", _GNU_NOTICE.format(kind="affero general", version="3")),
+    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{address:1-6}}"),
+    # names
+    ("mit", "mit license", "[[this software is]] [[released | licensed | distributed | available]] [[under]] [[the]] [[terms of the]] mit license"),
+    ("apache-2.0", "apache license", "[[licensed under the]] [[the]] apache license [[version | v]] (( 2 0 | 2 | v2 [[0]] ))"),
     ("apache-2.0", "apache 2 0", "apache 2 0 [[license]]"),
-    ("gpl-2.0", "general public license", "[[this {{work:1-4}} is licensed under the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[0]] [[of the license]] [[or at your option any later version]]"),
-    ("gpl-3.0", "general public license", "[[this {{work:1-4}} is licensed under the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[0]] [[of the license]] [[or at your option any later version]]"),
+    ("gpl-2.0", "general public license", "[[this {{work:1-4}} is licensed under the]] gnu general public license " + _V.format(2) + " [[of the license]] [[or at your option any later version]]"),
+    ("gpl-3.0", "general public license", "[[this {{work:1-4}} is licensed under the]] gnu general public license " + _V.format(3) + " [[of the license]] [[or at your option any later version]]"),
+    ("gpl-2.0", "gpl", "[[gnu]] gpl " + _V.format(2) + " [[only | or later]]"),
+    ("gpl-3.0", "gpl", "[[gnu]] gpl " + _V.format(3) + " [[only | or later]]"),
+    ("gpl-2.0", "gplv2", "[[gnu]] gplv2"),
+    ("gpl-3.0", "gplv3", "[[gnu]] gplv3"),
     ("lgpl", "lesser general public license", "gnu lesser general public license [[version {{version:1-2}}]]"),
+    ("lgpl", "lgpl", "[[gnu]] lgpl [[v]] [[2 1 | 3 0 | v2 1 | v3 [[0]] | 3]]"),
     ("agpl", "affero general public license", "gnu affero general public license [[version {{version:1-2}}]]"),
+    ("agpl", "agpl", "[[gnu]] agpl [[v]] [[3 [[0]] | v3 [[0]]]]"),
     ("cc-by-4.0", "cc by 4 0", "[[licensed under]] [[a]] cc by 4 0 [[international]] [[license]]"),
+    ("cc-by-4.0", "creative commons attribution 4 0", "creative commons attribution 4 0 [[international]] [[public]] [[license]]"),
     ("cc-by-sa", "cc by sa", "[[licensed under]] [[a]] cc by sa [[{{version:1-2}} international]] [[4 0]]"),
-    ("cc-by-nc", "cc by nc", "[[licensed under]] [[a]] cc by nc [[4 0]] [[international]] [[license]]"),
+    ("cc-by-sa", "creative commons attribution", "creative commons attribution (( sharealike | share alike )) [[4 0 | 3 0]] [[international | unported]] [[public]] [[license]]"),
+    ("cc-by-nc", "cc by nc", "[[licensed under]] [[a]] cc by nc [[sa | nd]] [[4 0]] [[international]] [[license]]"),
+    ("cc-by-nc", "creative commons attribution", "creative commons attribution (( noncommercial | non commercial )) [[sharealike | share alike | noderivatives | noderivs]] [[4 0 | 3 0]] [[international | unported]] [[public]] [[license]]"),
     ("cc-by-nd", "cc by nd", "[[licensed under]] [[a]] cc by nd [[4 0]] [[international]] [[license]]"),
+    ("cc-by-nd", "creative commons attribution", "creative commons attribution (( noderivatives | noderivs | no derivatives )) [[4 0 | 3 0]] [[international | unported]] [[public]] [[license]]"),
     ("cc0", "cc0", "cc0 [[1 0]] [[universal]]"),
     ("bsd", "bsd license", "[[released | licensed]] [[under the]] [[2 | 3]] [[clause]] bsd license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "bsd 2 clause", "bsd 2 clause [[license]]"),
+    ("bsd-3-clause", "bsd 3 clause", "bsd 3 clause [[license]]"),
     ("mpl-2.0", "mozilla public license", "mozilla public license [[version]] [[v]] 2 0"),
-    ("isc", "permission to use copy modify and or distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
+    # identifiers, beside those that are names above
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("isc", "spdx license identifier isc", "spdx license identifier isc"),
+    ("zlib", "spdx license identifier zlib", "spdx license identifier zlib"),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", "spdx license identifier mpl 2 0"),
+    ("unlicense", "spdx license identifier unlicense", "spdx license identifier unlicense"),
 )
 
 
@@ -100,21 +155,21 @@ class Automaton:
         return best
 
 
-_MARK = re.compile(r"\[\[|\]\]|\||\{\{\w+:(\d+)-(\d+)\}\}|[^\s\[\]|{}]+")
+_MARK = re.compile(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\w+:(\d+)-(\d+)\}\}|[^\s\[\]|{}()]+")
 
 
 def compile_template(label: str, template: str) -> Automaton:
-    """The automaton of a template. ``|`` in an optional region separates wordings. ValueError for unbalanced regions."""
+    """The automaton of a template. ``|`` in a region separates wordings. ValueError for unbalanced regions."""
     a = Automaton(label)
     at, open_regions = 0, []
     for m in _MARK.finditer(template):
         token = m[0]
-        if token == "[[":
-            open_regions.append((at, []))
-        elif token in ("|", "]]"):
-            if not open_regions:
+        if token in ("[[", "(("):
+            open_regions.append((at, [], token))
+        elif token in ("|", "]]", "))"):
+            if not open_regions or token != "|" and open_regions[-1][2] != {"]]": "[[", "))": "(("}[token]:
                 raise ValueError(f"unbalanced region in the template of {label}")
-            begin, ends = open_regions[-1]
+            begin, ends, kind = open_regions[-1]
             ends.append(at)
             if token == "|":
                 at = a.state()
@@ -122,7 +177,7 @@ def compile_template(label: str, template: str) -> Automaton:
             else:
                 open_regions.pop()
                 at = a.state()
-                for s in {begin, *ends}:
+                for s in {begin, *ends} if kind == "[[" else set(ends):
                     a.skips[s].append(at)
         elif m[1]:
             least, most = int(m[1]), int(m[2])
@@ -164,9 +219,11 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         found, matches = [], []
         for phrase, n, label in self.base:
-            at = joined.find(phrase)
+            at, counted, word = joined.find(phrase), 0, 0
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), n, label))
+                word += joined.count(b" ", counted, at)  # words before this place, counted on from the last
+                counted = at
+                found.append((word, n, label))
                 at = joined.find(phrase, at + 1)
         for anchor, automaton, starts in self.compiled:
             if anchor in joined:
