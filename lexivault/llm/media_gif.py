@@ -264,7 +264,7 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return np.concatenate([np.bincount(opaque[:, k] >> (8 - bits), minlength=1 << bits) for k, bits in ((0, 3), (1, 3), (2, 2))]).tolist()
 
 
-FRAMES = "frame int, delay_ms int, disposal int, left int, top int, width int, height int, canvas_width int, canvas_height int, histogram array<long>, rgba binary, error string"
+FRAMES = "frame int, delay_ms int, disposal int, transparent int, left int, top int, width int, height int, canvas_width int, canvas_height int, histogram array<long>, rgba binary, error string"
 
 
 def gif_frames(media: DataFrame, id_col: str, gif_col: str, pixels: bool = True) -> DataFrame:
@@ -282,12 +282,12 @@ def gif_frames(media: DataFrame, id_col: str, gif_col: str, pixels: bool = True)
             if data is None:
                 raise ValueError("null")
             for f in decode_gif(data):
-                yield ident, f.number, f.delay_ms, f.disposal, f.left, f.top, f.width, f.height, f.canvas.shape[1], f.canvas.shape[0], histogram(f.canvas), f.canvas.tobytes() if pixels else None, None
+                yield ident, f.number, f.delay_ms, f.disposal, f.transparent, f.left, f.top, f.width, f.height, f.canvas.shape[1], f.canvas.shape[0], histogram(f.canvas), f.canvas.tobytes() if pixels else None, None
         except ValueError as e:
-            yield (ident, *[None] * 11, str(e))
+            yield (ident, *[None] * 12, str(e))
 
     schema = f"`{id_col}` {kind}, {FRAMES}"
-    return media.select(id_col, gif_col).mapInArrow(_by_row(rows, schema, lambda row: len(row[11] or b"")), schema)
+    return media.select(id_col, gif_col).mapInArrow(_by_row(rows, schema, lambda row: len(row[12] or b"")), schema)
 
 
 def _by_row(rows, schema: str, weight):
@@ -333,26 +333,43 @@ def store_as_gif(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(made.mapInArrow(_by_row(rows, schema, lambda row: len(row[2])), schema), "gif")
 
 
-def payload_of(gif: bytes) -> tuple[bytes, list[int], int]:
-    """What ``encode_gif`` was given, the summed histogram of the frames' own pixels, and the number of frames. The
-    colours of each shown frame are turned back to samples."""
-    parts, counts, frames = [], np.zeros(20, dtype=np.int64), 0
+#: A timed frame as it is stored; ``histogram`` is that of the whole canvas while it is shown.
+FRAME = "struct<frame:int,delay_ms:int,disposal:int,transparent:int,left:int,top:int,width:int,height:int,histogram:array<long>>"
+
+
+def payload_of(gif: bytes) -> tuple[bytes, list[tuple]]:
+    """What ``encode_gif`` was given, and the timed frames (``FRAME``). The colours that each shown frame has in its own
+    place are turned back to samples."""
+    parts, frames = [], []
     for f in decode_gif(gif):
         own = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         parts.append((own[..., 0] | own[..., 1] >> 3 | own[..., 2] >> 6).tobytes())
-        counts += histogram(own)
-        frames += 1
-    return b"".join(parts), counts.tolist(), frames
+        frames.append((f.number, f.delay_ms, f.disposal, f.transparent, f.left, f.top, f.width, f.height, histogram(f.canvas)))
+    return b"".join(parts), frames
 
 
-def op2_media_gif(spark, sf_dir: str) -> DataFrame:
-    """Every text through its GIF and back. ``feature``: number of frames, then the counts of red, green and blue levels."""
-    media = store_as_gif(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def media_columns(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A table in the shared folder with a row for each of ``store_as_gif``: its digests and ``frames``, the timed frames with
+    their colour histograms."""
+    ship(media.sparkSession)
+    kind = media.select(id_col).schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>"
+    names = [f.split(":")[0] for f in FRAME[len("struct<") : -1].replace("array<long>", "").split(",")]
+
+    def rows(ident, n_bytes, gif) -> Iterator[tuple]:
+        payload, frames = payload_of(gif)
+        yield ident, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), [dict(zip(names, f)) for f in frames]
 
-    def rows(doc_id, n_bytes, gif) -> Iterator[tuple]:
-        payload, counts, frames = payload_of(gif)
-        levels = "|".join(",".join(map(str, counts[a:b])) for a, b in ((0, 8), (8, 16), (16, 20)))
-        yield doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), f"{frames}|{levels}"
+    return stored(media.select(id_col, "n_bytes", "gif").mapInArrow(_by_row(rows, schema, lambda row: 300 * len(row[7])), schema), "gif-frames")
 
-    return media.mapInArrow(_by_row(rows, schema, lambda row: 300), schema)
+
+def op2_media_gif(spark, sf_dir: str) -> DataFrame:
+    """Every text through its GIF and back. ``feature`` is read from the stored frames: their number, how long they are shown in
+    all, and the sums of their counts of red, green and blue levels."""
+    media = media_columns(store_as_gif(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
+    zero = F.array_repeat(F.lit(0).cast("long"), 20)
+    counts = F.aggregate("frames", zero, lambda sums, f: F.zip_with(sums, f.histogram, lambda x, y: x + y))
+    shown = F.aggregate("frames", F.lit(0).cast("long"), lambda sums, f: sums + f.delay_ms)
+    levels = [F.array_join(F.slice("counts", at, n), ",") for at, n in ((1, 8), (9, 8), (17, 4))]
+    feature = F.concat_ws("|", F.size("frames").cast("string"), shown.cast("string"), *levels)
+    return media.withColumn("counts", counts).withColumn("feature", feature).drop("frames", "counts")

@@ -90,9 +90,10 @@ def test_malformed():
 @pytest.mark.parametrize("n", [192, 192 * 3, 192 * (G.ROWS + 5)])
 def test_payload_round_trip(n):
     for data in (bytes(k % 256 for k in range(n)), b"\0" * n, np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()):
-        payload, counts, frames = G.payload_of(G.encode_gif(data))
-        assert payload == data and frames == -(-n // (192 * G.ROWS))
-        assert counts[:8] == np.bincount(np.frombuffer(data, np.uint8) >> 5, minlength=8).tolist()
+        payload, frames = G.payload_of(G.encode_gif(data))
+        assert payload == data and len(frames) == -(-n // (192 * G.ROWS))
+        assert frames[0][8][:8] == np.bincount(np.frombuffer(data[: 192 * G.ROWS], np.uint8) >> 5, minlength=8).tolist()
+        assert [f[:2] for f in frames] == [(k, 10 * G.DELAY_CS) for k in range(len(frames))]
 
 
 def test_query_against_texts(spark, tmp_path, docs):
@@ -119,3 +120,19 @@ def test_frames_table(spark):
     assert [r.error for r in rows if r.id in (2, 3)] == ["null", "not a GIF"]
     assert sum(r.id is None for r in rows) == 2
     assert len(rows[0].histogram) == 20 and len(rows[0].rgba) == 16
+
+
+def test_query_on_the_whole_table(spark):
+    """Digests and features of all texts, from the texts alone."""
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = G.op2_media_gif(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        payload = text + b" " * (-len(text) % 192 if text else 192)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        if len(payload) <= 192 * G.ROWS:
+            x = np.frombuffer(payload, np.uint8)
+            levels = [",".join(map(str, np.bincount(v, minlength=n))) for v, n in ((x >> 5, 8), (x >> 2 & 7, 8), (x & 3, 4))]
+            assert r.feature == "|".join(["1", str(10 * G.DELAY_CS), *levels])
