@@ -34,6 +34,9 @@ from ._shared import stored
 WINDOW, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 SHARD_TOKENS = 4_000_000
+#: Tokens that a document counts as at least when shards are filled, so that a shard of very short ones, whose windows all
+#: look at its documents, has no more than about 31,000 of them.
+LEAST_COUNTED = 128
 #: Tasks that the shards are dealt to at most; beyond that a task takes several, one after another.
 MOST_TASKS = 20_000
 K1, B = 1.2, 0.75
@@ -313,7 +316,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, name: str = TOKENIZ
     spark = ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = given.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("bytes")).first()
-    held = spark.sparkContext.broadcast(_grow(given, sizes.docs, name)) if sizes.bytes > shard_tokens else None
+    held = spark.sparkContext.broadcast(_grow(given, sizes.docs, name)) if sizes.bytes + LEAST_COUNTED * sizes.docs > shard_tokens else None
     return stored(given.mapInArrow(_tokenize(name, held), _TABLE), "packing-tokens")
 
 
@@ -405,8 +408,9 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                 continue
         score = np.where(unused, index.scores(seed), 0.0)
         best = -1
+        positive = np.flatnonzero(score > 0)
         while filled and best < 0:
-            near = np.flatnonzero(score > 0)
+            near = positive = positive[score[positive] > 0]
             if not len(near):
                 break
             if len(near) > NEIGHBOURS:
@@ -448,7 +452,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
     tokens, n_docs, df = _statistics(table, tokenizer(name).size)
     mean = max(1.0, tokens / max(1, n_docs))
     held = spark.sparkContext.broadcast(_idf(n_docs, df))
-    leaves = table.where("df is null").groupBy("leaf").agg(F.sum("n").alias("n")).orderBy("leaf").collect()
+    leaves = table.where("df is null").groupBy("leaf").agg(F.sum(F.greatest("n", F.lit(LEAST_COUNTED))).alias("n")).orderBy("leaf").collect()
     places = shards_of([(r.leaf, r.n) for r in leaves], shard_tokens)
     shards = max((first + parts for _, first, parts in places), default=1)
     dtype = tokenizer(name).dtype.str

@@ -146,3 +146,66 @@ def test_all_terms_are_queried():
     idf[59] = 0.01
     index = P.Index(docs, idf, 20.0)
     assert index.scores(0)[1] > 0 and index.scores(0)[2] == 0
+
+
+def plain_pack(docs, idf, mean, window):
+    """The filling by its words: one document after another, scores made anew for each, in exact order of rank."""
+    left, pieces, sequence, filled = list(range(len(docs))), [], 0, 0
+
+    def put(doc):
+        nonlocal sequence, filled
+        at = 0
+        while at < len(docs[doc]):
+            n = min(window - filled, len(docs[doc]) - at)
+            pieces.append((doc, at, n, sequence, filled))
+            at, filled = at + n, filled + n
+            if filled == window:
+                sequence, filled = sequence + 1, 0
+        left.remove(doc)
+
+    def score(q, d):
+        total = np.float64(0)
+        for t in sorted(set(docs[q].tolist())):
+            tf = int((docs[d] == t).sum())
+            if tf:
+                total += np.float32(idf[t] * tf * (P.K1 + 1) / (tf + P.K1 * (1 - P.B + P.B * len(docs[d]) / mean)))
+        return total
+
+    seed = None
+    while left:
+        if not filled:
+            seed = left[0]
+            put(seed)
+            continue
+        ranked = sorted((d for d in left if score(seed, d) > 0), key=lambda d: (-score(seed, d), d))
+        best = None
+        while filled and best is None and ranked:
+            some, ranked = ranked[: P.NEIGHBOURS], ranked[P.NEIGHBOURS :]
+            for d in some:
+                if filled and len(docs[d]) <= window - filled:
+                    put(d)
+            best = next((d for d in some if d in left), None)
+        if filled and left:
+            seed = left[0] if best is None else best
+            put(seed)
+    return pieces
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_filling_against_a_plain_one(seed, monkeypatch):
+    monkeypatch.setattr(P, "NEIGHBOURS", 6)
+    monkeypatch.setattr(P, "OFTEN", 2.0)  # all terms by postings: sums in the order of terms
+    r = np.random.default_rng(seed)
+    docs = [r.integers(0, 40, int(r.integers(1, 30))) + (40 * int(r.integers(0, 3)) if r.random() < 0.8 else 0) for _ in range(70)]
+    idf = r.uniform(0.1, 5, 200)
+    assert P.pack_shard(docs, idf, 14.0, 64) == plain_pack(docs, idf, 14.0, 64)
+
+
+def test_shards_of_short_documents_are_bounded(spark):
+    """Many documents of two tokens: shards are filled by documents, not by tokens alone."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "concat('w', id % 97) as text")
+    got = P.pack(rows, shard_tokens=128 * 500).collect()
+    per = defaultdict(int)
+    for x in got:
+        per[x.sequence_id >> 32] += x.start == 0
+    assert sum(per.values()) == 3000 and max(per.values()) <= 500
