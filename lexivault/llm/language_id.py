@@ -247,7 +247,8 @@ def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: i
     fit = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("lang", "text", mark.alias("mark"))
     # texts below a hash bound that is met by about twice those wanted; then the smallest hashes of these few
     bounds = fit.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).select("lang", (F.least(F.lit(1.0), F.lit(2 * sample_docs + 50) / F.col("n")) * (1 << 40)).cast("long").alias("bound"))
-    near = fit.join(bounds, "lang").where("mark < bound").dropDuplicates(["lang", "mark"])
+    # a row a language, as the model has: always small enough to be broadcast, so only the texts that are near move
+    near = fit.join(F.broadcast(bounds), "lang").where("mark < bound").dropDuplicates(["lang", "mark"])
     order = Window.partitionBy("lang").orderBy("mark", "text")
     chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "mark", "text")
 

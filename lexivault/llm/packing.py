@@ -47,8 +47,10 @@ SAMPLE, LEAST_SAMPLE, LEAF, DIMENSIONS, STEP = 0.01, 2000, 8, 64, 1 / 256
 NEIGHBOURS = 32
 #: Terms that this part of a shard's documents have are held as whole rows of impacts.
 OFTEN = 1 / 4
+#: Token ids that are projected at a time, or one document's.
+PROJECTED = 100_000
 #: Entries of a tokenizer's word cache; two generations of half that.
-CACHE = 800_000
+CACHE = 300_000
 #: Longer words aren't held.
 LONGEST_HELD = 64
 #: These are white space to Python and not to the tokenizers' pattern; texts with them are tokenized whole.
@@ -161,11 +163,33 @@ class Projection:
         self.idf, self.mean = idf, mean
         self.axes = np.random.default_rng(8).standard_normal((len(idf), DIMENSIONS), dtype=np.float32) / np.float32(DIMENSIONS**0.5)
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        token, tf = np.unique(ids, return_counts=True)
-        weight = (self.idf[token] * tf / (tf + K1 * (1 - B + B * len(ids) / self.mean))).astype(np.float32)
-        vector = weight @ self.axes[token]
-        return np.clip(np.rint(vector / (max(float(np.linalg.norm(weight)), 1e-9) * STEP)), -127, 127).astype(np.int8)
+    def of(self, docs: list[np.ndarray]) -> np.ndarray:
+        """A row for each of the token id arrays ``docs``."""
+        found = [self.of_terms(n, *terms) for n, terms in terms_of(docs, len(self.idf))]
+        return np.concatenate(found) if found else np.zeros((0, DIMENSIONS), dtype=np.int8)
+
+    def of_terms(self, n: np.ndarray, owner: np.ndarray, token: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        weight = (self.idf[token] * tf / (tf + K1 * (1 - B + B * n[owner] / self.mean))).astype(np.float32)
+        start = np.searchsorted(owner, np.arange(len(n)))
+        vector = np.add.reduceat(self.axes[token] * weight[:, None], start, axis=0)
+        norm = np.sqrt(np.add.reduceat(weight * weight, start))
+        return np.clip(np.rint(vector / (np.maximum(norm, 1e-9)[:, None] * STEP)), -127, 127).astype(np.int8)
+
+
+def terms_of(docs: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Some documents at a time: their lengths and, for each of their terms in order, document, id and count."""
+    at = 0
+    while at < len(docs):
+        end, tokens = at + 1, len(docs[at])
+        while end < len(docs) and tokens + len(docs[end]) <= PROJECTED:
+            tokens += len(docs[end])
+            end += 1
+        n = np.array([len(d) for d in docs[at:end]])
+        pair = np.repeat(np.arange(end - at) * size, n) + np.concatenate(docs[at:end])
+        pair.sort()
+        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        yield n, (*np.divmod(pair[cut], size), np.diff(np.append(cut, len(pair))))
+        at = end
 
 
 class Tree:
@@ -241,9 +265,11 @@ def _tokenize(name: str, held=None):
                     chars += len(group[-1])
                 codes = [coded + end for coded in t.encode(group)]
                 owns = [np.frombuffer(coded, dtype=t.dtype) for coded in codes]
-                leaf = [0] * len(group) if projection is None else tree.leaves(np.array([projection.of(own) for own in owns])).tolist()
+                leaf: list[int] = []
+                for n, terms in terms_of(owns, t.size):
+                    df += np.bincount(terms[1], minlength=t.size)
+                    leaf += [0] * len(n) if projection is None else tree.leaves(projection.of_terms(n, *terms)).tolist()
                 for doc, coded, own, place in zip(ids[at : at + len(group)], codes, owns, leaf):
-                    df[np.flatnonzero(np.bincount(own, minlength=0))] += 1
                     total += len(own)
                     count += 1
                     # the order in a shard, and what deals a leaf that is larger than one
@@ -302,7 +328,7 @@ def _grow(given: DataFrame, count: int, name: str) -> tuple[np.ndarray, float, T
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection = Projection(*held.value)
         for batch in batches:
-            vectors = [projection.of(np.frombuffer(v.as_buffer(), dtype=dtype)).tobytes() for v in batch.column(0)]
+            vectors = [v.tobytes() for v in projection.of([np.frombuffer(v.as_buffer(), dtype=dtype) for v in batch.column(0)])]
             yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], names=["vector"])
 
     rows = table.where("df is null").select("ids").mapInArrow(project, "vector binary").toPandas()["vector"]
@@ -344,7 +370,9 @@ class Index:
         pair.sort()
         cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         tf = np.diff(np.concatenate([cut, [len(pair)]]))
-        self.owner, token = np.divmod(pair[cut], size)
+        pair = pair[cut]
+        self.owner, token = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        del pair
         impact = (idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.owner] / mean))).astype(np.float32)
         self.of = np.searchsorted(self.owner, np.arange(len(docs) + 1))
         self.token, self.own = token, impact
