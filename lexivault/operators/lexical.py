@@ -2,12 +2,15 @@
 
 A query's tree becomes columns over the token arrays of the three text columns: each phrase's number of occurrences, and
 whether the tree matches. One aggregate over all chunks gives the statistics, which are never filtered; filters apply
-to candidates only. No row is shuffled but the one of statistics and the top ``k``. Over a stored index, postings serve
-single-word queries instead: only the terms' rows are read.
+to candidates only. No row is shuffled but the one of statistics and the top ``k``.
+
+A stored index has postings instead: for every term and chunk the term's places in each column, a term's rows lying
+together. A query of any form then reads the rows of its own terms only, and gathers them by chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,15 +25,21 @@ RRF_K = 60
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, id, tf, dl``: each chunk's terms over all three columns."""
-    parts = F.concat(*[tokens(F.col(c)) for c in COLUMNS])
-    words = chunks.select("id", parts.alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """``term, id, dl`` and the term's places, from 1, in each of the three columns, for every term of every chunk."""
+
+    def numbered(column: str, n: int) -> Column:
+        return F.transform(tokens(F.col(column)), lambda x, i: F.struct(x.alias("term"), F.lit(n).alias("column"), (i + 1).alias("place")))
+
+    said = [numbered(c, n) for n, c in enumerate(COLUMNS)]
+    words = chunks.select("id", F.concat(*said).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("w"))
+    places = [F.sort_array(F.collect_list(F.when(F.col("w.column") == n, F.col("w.place")))).alias(c) for n, c in enumerate(COLUMNS)]
+    return words.groupBy(F.col("w.term").alias("term"), "id").agg(F.first("dl").alias("dl"), *places)
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
     """``term, docs, occurrences`` over all three columns."""
-    return postings(chunks).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+    words = chunks.select("id", F.explode(F.concat(*[tokens(F.col(c)) for c in COLUMNS])).alias("term"))
+    return words.groupBy("term", "id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -59,19 +68,22 @@ def _places(phrase: Phrase, column: str) -> Column:
     return F.filter(found, lambda i: i == 1) if phrase.initial else found
 
 
-def _count(phrase: Phrase, node: Node | None = None) -> Column:
+Places = Callable[[Phrase, str], Column]
+
+
+def _count(phrase: Phrase, node: Node | None = None, places: Places = _places) -> Column:
     """Occurrences in the phrase's columns; with ``node``, a NEAR group, those close to each of its other phrases."""
     total = F.lit(0)
     for c in phrase.columns:
-        found = _places(phrase, c)
-        if node is None and len(phrase.words) == 1 and not phrase.initial:
+        if node is None and len(phrase.words) == 1 and not phrase.initial and places is _places:
             word, prefix = phrase.words[0], phrase.prefix
             total = total + F.size(F.filter(F.col(f"_t_{c}"), lambda x: F.startswith(x, F.lit(word)) if prefix else x == word))
             continue
+        found = places(phrase, c)
         if node is not None:
             for other in node.phrases:
                 if other is not phrase:
-                    near, mine, theirs = _places(other, c), len(phrase.words), len(other.words)
+                    near, mine, theirs = places(other, c), len(phrase.words), len(other.words)
                     found = F.filter(found, lambda i: F.exists(near, lambda j: F.when(i <= j, j - i - mine).otherwise(i - j - theirs) <= node.distance))
         total = total + F.size(found)
     return total.cast("long")
@@ -130,39 +142,58 @@ def bm25(chunks: DataFrame, query: str, where: Column | None = None) -> DataFram
     rows, match, scoring = counted(chunks.select(*need, *extra), query)
     if not scoring:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    stats = rows.agg(F.count("*").alias("_n"), (F.sum("_dl") / F.count("*")).alias("_avgdl"), *[F.sum((F.col(f"_n{k}") > 0).cast("long")).alias(f"_df{k}") for k in scoring])
-    found = rows.where(match if where is None else match & where)
-    scored = found.select("id", "_dl", *[F.when(where_, F.col(f"_n{k}")).otherwise(0).alias(f"_n{k}") for k, where_ in scoring.items()]).crossJoin(F.broadcast(stats))  # one row
+    stats = rows.agg(F.count("*").alias("_n"), (F.sum("_dl") / F.count("*")).alias("_avgdl"), *_frequencies(scoring))
+    return _scored(rows.where(match if where is None else match & where), stats, scoring)
+
+
+def _frequencies(scoring: dict[int, Column]) -> list[Column]:
+    return [F.coalesce(F.sum((F.col(f"_n{k}") > 0).cast("long")), F.lit(0)).alias(f"_df{k}") for k in scoring]
+
+
+def _scored(found: DataFrame, stats: DataFrame, scoring: dict[int, Column]) -> DataFrame:
+    """``id, score`` of rows ``id, _dl, _n0 ...``; ``stats`` is one row ``_n, _avgdl, _df...``."""
+    rows = found.select("id", "_dl", *[F.when(where, F.col(f"_n{k}")).otherwise(0).alias(f"_n{k}") for k, where in scoring.items()]).crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for k in scoring:
         raw = F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
         idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
         tf = F.col(f"_n{k}")
         total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))
-    return scored.select("id", total.alias("score"))
+    return rows.select("id", total.alias("score"))
 
 
-def bm25_postings(index: DataFrame, stats: DataFrame, query: str) -> DataFrame | None:
-    """``bm25`` of a stored index (``postings`` sorted by term, ``stats`` its ``n, avgdl``) for queries that are words, all
-    of them or any; None for others. Only the rows of the query's terms are read."""
+def bm25_postings(index: DataFrame, stats: DataFrame, query: str, allowed: DataFrame | None = None) -> DataFrame:
+    """``bm25`` of a stored index (``postings`` sorted by term, ``stats`` its ``n, avgdl``). Only the rows of the query's terms,
+    and of those that begin with its prefixes, are read. ``allowed`` (``id``) filters candidates, not statistics."""
     tree = parse(query)
-    leaves = tree.parts if tree.op in ("and", "or") else [tree]
-    words = []
-    for leaf in leaves:
-        if leaf.op != "phrase" or len(leaf.phrases) != 1:
-            return None
-        p = leaf.phrases[0]
-        if len(p.words) != 1 or p.prefix or p.initial or p.columns != COLUMNS:
-            return None
-        words.append(p.words[0])
-    rows = index.where(F.col("term").isin(sorted(set(words))))
-    df = rows.groupBy("term").agg(F.count("*").alias("_df"))
-    raw = F.log((F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    times = F.create_map(*[F.lit(x) for w in sorted(set(words)) for x in (w, float(words.count(w)))])
-    weight = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)) * times[F.col("term")]
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("_terms"))
-    return (scored.where(F.col("_terms") == len(set(words))) if tree.op != "or" else scored).select("id", "score")
+    counts: list[tuple[Phrase, Node | None]] = []
+    whole: list[Column] = []
+    match = _plan(tree, counts, whole)
+    scoring = {k: whole[k] for k, no in enumerate(_negative(tree)) if not no}
+    if not scoring:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms: dict[tuple[str, bool], int] = {}
+    for p, _ in counts:
+        for k, word in enumerate(p.words):
+            terms.setdefault((word, p.prefix and k == len(p.words) - 1), len(terms))
+    is_term = {key: F.startswith(F.col("term"), F.lit(key[0])) if key[1] else F.col("term") == key[0] for key in terms}
+    exact = sorted(word for word, prefix in terms if not prefix)
+    any_ = reduce(lambda a, b: a | b, [F.col("term").isin(exact)] * bool(exact) + [c for key, c in is_term.items() if key[1]])
+
+    def places(phrase: Phrase, column: str) -> Column:
+        n = len(phrase.words)
+        held = [F.col(f"_p{terms[(word, phrase.prefix and k == n - 1)]}_{column}") for k, word in enumerate(phrase.words)]
+        found = held[0]
+        if n > 1:
+            found = F.filter(found, lambda i: reduce(lambda a, b: a & b, [F.array_contains(held[k], i + k) for k in range(1, n)]))
+        return F.filter(found, lambda i: i == 1) if phrase.initial else found
+
+    gathered = [F.sort_array(F.flatten(F.collect_list(F.when(c, F.col(column))))).alias(f"_p{terms[key]}_{column}") for key, c in is_term.items() for column in COLUMNS]
+    docs = index.where(any_).groupBy("id").agg(F.first("dl").alias("_dl"), *gathered)
+    docs = docs.select("id", "_dl", *[_count(p, n, places).alias(f"_n{k}") for k, (p, n) in enumerate(counts)])
+    totals = docs.agg(*_frequencies(scoring)).crossJoin(F.broadcast(stats.select(F.col("n").alias("_n"), F.col("avgdl").alias("_avgdl"))))  # one row each
+    found = docs.where(match)
+    return _scored(found if allowed is None else found.join(allowed.select("id"), "id", "left_semi"), totals, scoring)
 
 
 def top(scored: DataFrame, k: int, order: list[Column]) -> DataFrame:

@@ -55,12 +55,10 @@ class Searcher:
 
     def lexical_pool(self, query: str, k: int, filters: Filters) -> DataFrame:
         where = filters.condition()
-        scored = bm25_postings(self.postings, self.stats, query) if self.postings is not None else None
-        if scored is None:
-            scored = bm25(self.chunks, query, where)
-        elif where is not None:
-            scored = scored.join(self.chunks.where(where).select("id"), "id", "left_semi")
-        return rank_bm25(scored, k)
+        if self.postings is None:
+            return rank_bm25(bm25(self.chunks, query, where), k)
+        allowed = None if where is None else self.chunks.where(where).select("id")
+        return rank_bm25(bm25_postings(self.postings, self.stats, query, allowed), k)
 
     def dense_pool(self, query: str, k: int, filters: Filters, when: str = "pre") -> DataFrame:
         """``when``: whether filters apply before the nearest ``k`` are cut (``pre``) or to those only (``post``)."""

@@ -83,8 +83,24 @@ old AS (SELECT path, mtime, size FROM base WHERE id % 10 <> 0),
 new AS (SELECT path, mtime, size + CASE WHEN id % 10 = 2 THEN 1 ELSE 0 END AS size FROM base WHERE id % 10 <> 1)"""
 
 
+#: Stored indexes of this session: application and folder to tables.
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``chunks``, ``postings`` and ``stats`` of a corpus in the shared folder, built once a session as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        chunks = stored(corpus.chunks(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id"), "index-chunks")
+        places = stored(lexical.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "id"), "index-postings")
+        _INDEXES[key] = chunks, places, stored(lexical.corpus_stats(chunks), "index-stats")
+    return _INDEXES[key]
+
+
 def _searcher(spark: SparkSession, sf_dir: str) -> Searcher:
-    return Searcher(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir), lambda _: corpus.query_vector(spark, sf_dir, VECTOR))
+    """Over the stored index."""
+    chunks, places, stats = stored_index(spark, sf_dir)
+    return Searcher(chunks, corpus.vectors(spark, sf_dir), lambda _: corpus.query_vector(spark, sf_dir, VECTOR), places, stats)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -147,7 +163,8 @@ def search_zero(spark, d):
 def _mode(name: str, words: str, sql: str) -> None:
     @query(name, f"WITH {sql} SELECT id, round(score, 6) AS score FROM scored")
     def run(spark, d):
-        return _rounded(lexical.bm25(corpus.chunks(spark, d), words), "score")
+        _, places, stats = stored_index(spark, d)
+        return _rounded(lexical.bm25_postings(places, stats, words), "score")
 
 
 _mode("search_mode_and", "apache AND license", _bm25(TWO, "w0 > 0 AND w1 > 0", ["w0", "w1"]))
@@ -155,6 +172,8 @@ _mode("search_mode_or", "apache OR reserved", _bm25({"w0": _occurs("apache"), "w
 _mode("search_mode_not", "license NOT apache", _bm25({"w0": _occurs("license"), "w1": _occurs("apache")}, "w0 > 0 AND NOT w1 > 0", ["w0"]))
 _mode("search_mode_prefix", "licen*", _bm25({"w0": "len(list_filter(t, lambda x: starts_with(x, 'licen')))"}, "w0 > 0", ["w0"]))
 _mode("search_mode_phrase", '"general public license"', _bm25({"w0": "len(list_filter(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] = 'general' AND t[i + 1] = 'public' AND t[i + 2] = 'license'))"}, "w0 > 0", ["w0"]))
+_mode("search_mode_near", "NEAR(general license, 1)", _bm25({"w0": "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'general' AND len(list_filter(range(greatest(i - 2, 1), least(i + 3, len(t) + 1)), lambda j: t[j] = 'license')) > 0))", "w1": "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'license' AND len(list_filter(range(greatest(i - 2, 1), least(i + 3, len(t) + 1)), lambda j: t[j] = 'general')) > 0))"}, "w0 > 0 AND w1 > 0", ["w0", "w1"]))
+_mode("search_mode_initial", "^the", _bm25({"w0": "CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END"}, "w0 > 0", ["w0"]))
 _mode("search_mode_common", "the", _bm25({"w0": _occurs("the")}, "w0 > 0", ["w0"]))
 _mode("search_mode_column", "name:src3 license", _bm25({"w0": f"{_occurs('src3')} * CASE WHEN (SELECT name FROM chunks c2 WHERE c2.id = tokens.id) = 'src3' THEN 1 ELSE 0 END", "w1": _occurs("license")}, "w0 > 0 AND w1 > 0", ["w0", "w1"]))
 
@@ -495,8 +514,25 @@ def stream_sync_foreachbatch(spark, d):
     return spark.read.parquet(f"{place}/out/0")
 
 
+@query("search_scan", f"WITH {BM} SELECT id, round(score, 6) AS score FROM scored")
+def search_scan(spark, d):
+    """Without an index: tokens are made of the texts."""
+    return _rounded(lexical.bm25(corpus.chunks(spark, d), WORDS), "score")
+
+
 @query("search_postings", f"WITH {BM} SELECT id, round(score, 6) AS score FROM scored")
 def search_postings(spark, d):
-    chunks = corpus.chunks(spark, d)
-    index = stored(lexical.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-    return _rounded(lexical.bm25_postings(index, stored(lexical.corpus_stats(chunks), "stats"), WORDS), "score")
+    _, places, stats = stored_index(spark, d)
+    return _rounded(lexical.bm25_postings(places, stats, WORDS), "score")
+
+
+def _dispatch(mode: str, sql: str) -> None:
+    @query(f"search_dispatch_{mode}", sql)
+    def run(spark, d):
+        return _rounded(_searcher(spark, d).candidates(WORDS, mode=mode), "score")
+
+
+_ONE = "SELECT id, round(1 / (60 + rank), 6) AS score, {} FROM {}"
+_dispatch("bm25", f"WITH {BM} " + _ONE.format("rank AS bm25_rank, NULL::BIGINT AS dense_rank", "bm"))
+_dispatch("dense", f"WITH {CHUNKS}, {DENSE} " + _ONE.format("NULL::BIGINT AS bm25_rank, rank AS dense_rank", "near"))
+_dispatch("hybrid", f"WITH {BM}, {DENSE}, {FUSED} SELECT id, round(score, 6) AS score, bm25_rank, dense_rank FROM fused")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexivault.functions.fts import QuerySyntaxError, parse
 from lexivault.operators import catalog, lexical
@@ -50,12 +51,16 @@ def test_syntax_errors(query):
 
 
 def test_postings_give_the_same_scores(corpus):
+    """Every form of query, from stored places and from the texts."""
     index, stats = lexical.postings(corpus).cache(), lexical.corpus_stats(corpus).cache()
-    for q in ("alpha", "alpha beta", "alpha OR delta", "beta beta", "the"):
-        plain = {r.id: r.score for r in lexical.bm25(corpus, q).collect()}
-        stored = {r.id: r.score for r in lexical.bm25_postings(index, stats, q).collect()}
-        assert stored == pytest.approx(plain), q
-    assert lexical.bm25_postings(index, stats, "gam*") is None
+    forms = ["alpha", "alpha beta", "alpha OR gamma", "alpha NOT beta", "gam*", '"alpha beta"', '"alpha be"*', "alpha + beta", "^alpha", '^"alpha beta"', "name:alpha", "{name scope}: alpha", "-content: alpha", "NEAR(alpha beta)", "NEAR(alpha gamma, 1)", '(alpha OR "beta gamma") AND gam* NOT delta', "nothing", "alpha alpha"]
+    for q in forms:
+        scan = {r.id: r.score for r in lexical.bm25(corpus, q).collect()}
+        held = {r.id: r.score for r in lexical.bm25_postings(index, stats, q).collect()}
+        assert held.keys() == scan.keys(), q
+        assert all(held[k] == pytest.approx(scan[k], abs=1e-12) for k in scan), q
+    some = corpus.where("id % 2 = 0")
+    assert {r.id: round(r.score, 9) for r in lexical.bm25_postings(index, stats, "alpha", some.select("id")).collect()} == {r.id: round(r.score, 9) for r in lexical.bm25(corpus, "alpha", F.col("id") % 2 == 0).collect()}
 
 
 def test_statistics_are_not_filtered(corpus):
