@@ -10,10 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: batches of whole texts at 10,000 rows take
+#: hundreds of megabytes of each task, on both sides of the pipe.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Makes the package importable in Python workers, once a Spark context, and gives the session back. A cluster's
-    executors needn't have it installed: they fetch an archive of its sources from the driver."""
+    executors needn't have it installed: they fetch an archive of its sources from the driver. Arrow batches become those
+    of ``BATCHES`` unless the session has set its own."""
     context = spark.sparkContext
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     if getattr(ship, "done", None) != context.applicationId:
         here = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="lexivault-ship-")) / "lexivault-sources.zip"
