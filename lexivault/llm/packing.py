@@ -48,9 +48,9 @@ NEIGHBOURS = 32
 #: Terms that this part of a shard's documents have are held as whole rows of impacts.
 OFTEN = 1 / 4
 #: Token ids that are projected at a time, or one document's.
-PROJECTED = 100_000
+PROJECTED = 50_000
 #: Entries of a tokenizer's word cache; two generations of half that.
-CACHE = 300_000
+CACHE = 200_000
 #: Longer words aren't held.
 LONGEST_HELD = 64
 #: These are white space to Python and not to the tokenizers' pattern; texts with them are tokenized whole.
