@@ -50,7 +50,7 @@ OFTEN = 1 / 4
 #: Token ids that are projected at a time, or one document's.
 PROJECTED = 50_000
 #: Entries of a tokenizer's word cache; two generations of half that.
-CACHE = 200_000
+CACHE = 400_000
 #: Longer words aren't held.
 LONGEST_HELD = 64
 #: These are white space to Python and not to the tokenizers' pattern; texts with them are tokenized whole.
@@ -61,6 +61,8 @@ _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 END_OF_WORD = b"\xff"
+#: Signs that end a word as a piece: those of ASCII that begin no piece with letters and no special token.
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 GROUP_CHARS = 1 << 20
 BATCH_BYTES = 8 << 20
 
@@ -131,6 +133,11 @@ class WordTokenizer:
         if self._quick is None or not _PLAIN.fullmatch(word) or "<|" in word:
             return self._direct(word)
         quick = self._quick
+        if word.isalpha():  # one piece
+            return array(self.dtype.char, quick(word.lower().encode() + END_OF_WORD)).tobytes()
+        core = word.rstrip(_TAIL)
+        if len(core) < len(word) and core[-1:].isalnum():  # signs after a letter or digit are a piece of their own
+            return self._held[core] + self._held[word[len(core) :]]
         return array(self.dtype.char, [k for piece in _PIECE.findall(word.lower()) for k in quick(piece.encode() + END_OF_WORD)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
