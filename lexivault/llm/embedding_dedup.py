@@ -1,13 +1,14 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill.
 
 1. Equal vectors of a label are one class; from here on a class stands for its copies.
-2. A forest of ``TREES`` trees, each over all classes of a label. A node splits at the median of the projection on a
-   random direction that its place in the tree gives; what lies within the spill of the median goes both ways. Two unit
+2. A forest of ``TREES`` trees, each over all classes of a label. A node splits on the projection on a random direction
+   that its place in the tree gives, in the middle half at the place with the fewest classes within the spill; these go
+   both ways. A node of which too many would is a leaf: its vectors are too close to be told apart. Two unit
    vectors with cosine ``c`` differ by at most ``sqrt(2 - 2c)`` and, along a random direction, by that over the square root
    of the dimension in root mean square; the spill is ``SPILL`` of this. So a pair is rarely cut in one tree and hardly
    ever in all, and few classes go both ways. Splits recurse until leaves hold at most ``LEAF`` classes, whatever their
-   number: nodes of more than ``TASK_BYTES`` are split by rounds, several levels at a time, at medians of a sample of
-   their own; smaller ones whole, in one task each.
+   number: nodes of more than ``TASK_BYTES`` are split by rounds, several levels at a time, at places that a sample of
+   their own gives; smaller ones whole, in one task each.
 3. Within a leaf all pairs are verified by exact cosines in double precision;
    a large leaf is cut into blocks, and each two blocks are a task of their own. A pair that meets in several leaves counts
    in the first only, which each class's list of leaves tells without a shuffle of pairs. Tasks return sums and local
@@ -28,11 +29,12 @@ from ..runtime import ship
 from ._shared import connected_components, stored
 
 TREES, SPILL, LEAF = 4, 0.5, 40
-#: Bytes of vectors that one task splits; larger nodes are split by rounds of ``LEVELS`` levels at medians of about
-#: ``SAMPLE`` classes of each.
+#: Bytes of vectors that one task splits; larger nodes are split by rounds of ``LEVELS`` levels by about ``SAMPLE`` classes
+#: of each.
 TASK_BYTES, LEVELS, SAMPLE = 48 << 20, 6, 4096
-#: Levels of a tree at most. A node that a split hardly divides is a leaf, however large: its vectors are too close.
-MOST_LEVELS, DIVIDES = 56, 0.9
+#: Levels of a tree at most, and the part of a node that may go both ways. A node that can't be split so is a leaf, however
+#: large, and compared in blocks.
+MOST_LEVELS, MOST_SPILT = 56, 0.2
 #: Classes in a task's block.
 BLOCK = 1536
 SALT = 16
@@ -48,6 +50,16 @@ def sides(projected: np.ndarray, middle: float, spill: float) -> tuple[np.ndarra
     return projected <= middle + spill, projected > middle - spill
 
 
+def place_of_cut(projected: np.ndarray, spill: float) -> float | None:
+    """Where in the middle half of the projections a cut copies the fewest; None if that is too many."""
+    at = np.sort(projected)
+    places = at[(np.linspace(0.25, 0.75, 21) * (len(at) - 1)).astype(int)]
+    both = np.searchsorted(at, places + spill, side="right") - np.searchsorted(at, places - spill, side="right")
+    best = int(np.lexsort((np.abs(np.arange(21) - 10), both))[0])
+    left, right = sides(projected, places[best], spill)
+    return float(places[best]) if both[best] <= MOST_SPILT * len(at) and max(left.sum(), right.sum()) < len(at) else None
+
+
 def leaves_of(x: np.ndarray, tree: int, node: int, spill: float, leaf: int = LEAF) -> list[tuple[int, np.ndarray]]:
     """Splits the unit vectors ``x`` below a node until leaves hold at most ``leaf``: node numbers with the rows of each."""
     found, todo = [], [(node, np.arange(len(x)))]
@@ -55,32 +67,32 @@ def leaves_of(x: np.ndarray, tree: int, node: int, spill: float, leaf: int = LEA
         at, rows = todo.pop()
         if len(rows) > leaf and at < 1 << MOST_LEVELS:
             projected = x[rows] @ direction(x.shape[1], tree, at)
-            left, right = sides(projected, float(np.median(projected)), spill)
-            if max(left.sum(), right.sum()) < DIVIDES * len(rows):
+            cut = place_of_cut(projected, spill)
+            if cut is not None:
+                left, right = sides(projected, cut, spill)
                 todo += [(2 * at, rows[left]), (2 * at + 1, rows[right])]
                 continue
         found.append((at, rows))
     return found
 
 
-def medians(x: np.ndarray, tree: int, node: int, spill: float, levels: int = LEVELS) -> list[float]:
-    """Medians of the nodes of some levels below ``node``, as a heap; NaN where a node isn't to be split."""
+def cuts(x: np.ndarray, tree: int, node: int, spill: float, levels: int = LEVELS) -> list[float]:
+    """Where the nodes of some levels below ``node`` are cut, as a heap; NaN where a node isn't to be split."""
     found = [float("nan")] * ((1 << levels) - 1)
     todo = [(0, node, np.arange(len(x)))]
     while todo:
         place, at, rows = todo.pop()
         if place < len(found) and len(rows) >= 32 and at < 1 << MOST_LEVELS:
             projected = x[rows] @ direction(x.shape[1], tree, at)
-            middle = float(np.median(projected))
-            left, right = sides(projected, middle, spill)
-            if max(left.sum(), right.sum()) < DIVIDES * len(rows):
-                found[place] = middle
-                todo += [(2 * place + 1, 2 * at, rows[projected <= middle]), (2 * place + 2, 2 * at + 1, rows[projected > middle])]
+            cut = place_of_cut(projected, spill)
+            if cut is not None:
+                found[place] = cut
+                todo += [(2 * place + 1, 2 * at, rows[projected <= cut]), (2 * place + 2, 2 * at + 1, rows[projected > cut])]
     return found
 
 
 def descend(x: np.ndarray, tree: int, node: int, spill: float, middle: list[float]) -> list[tuple[int, np.ndarray]]:
-    """The nodes that the unit vectors ``x`` reach below ``node`` by a heap of medians."""
+    """The nodes that the unit vectors ``x`` reach below ``node`` by a heap of cuts."""
     found, todo = [], [(0, node, np.arange(len(x)))]
     while todo:
         place, at, rows = todo.pop()
@@ -177,7 +189,7 @@ def _placed(classes: DataFrame, least: float, trees: int) -> DataFrame:
 
     def fit(table: pa.Table) -> pa.Table:
         label, dim, tree, node = (table.column(c)[0].as_py() for c in _NODE)
-        found = medians(unit(table.column("vec"), dim), tree, node, SPILL * length / dim**0.5)
+        found = cuts(unit(table.column("vec"), dim), tree, node, SPILL * length / dim**0.5)
         return pa.table({"label": [label], "dim": pa.array([dim], pa.int32()), "tree": pa.array([tree], pa.int32()), "node": [node], "middle": pa.array([found], pa.list_(pa.float64()))})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +218,7 @@ def _placed(classes: DataFrame, least: float, trees: int) -> DataFrame:
             break
         sample = at.join(F.broadcast(todo), list(_NODE)).where(F.pmod(F.xxhash64("cid", F.lit(3)), F.col("n")) < SAMPLE)
         middle = sample.join(vectors, "cid").select(*_NODE, "vec").groupBy(*_NODE).applyInArrow(fit, "label string, dim int, tree int, node long, middle array<double>")
-        deeper = at.join(F.broadcast(stored(middle, "embedding-medians")), list(_NODE)).join(vectors, "cid")
+        deeper = at.join(F.broadcast(stored(middle, "embedding-cuts")), list(_NODE)).join(vectors, "cid")
         at = stored(rest.unionByName(deeper.select("label", "dim", "cid", "tree", "node", "middle", "vec").mapInArrow(split, narrow)), "embedding-nodes")
 
     def finish(table: pa.Table) -> pa.Table:
