@@ -91,7 +91,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["segment"])
 
-    records.select("header", "block").mapInArrow(run, "segment binary").write.parquet(path)
+    records.select("header", "block").mapInArrow(run, "segment binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def write_archive(records: DataFrame, path: str) -> None:
     again = stored(sound.where(~short).groupBy("payload_digest").agg(F.count("*").alias("n")).where("n > 1").select("payload_digest"), "warc-again")
     long = sound.where(~short)
     repeated = sound.where(short).union(long.join(again, "payload_digest", "left_semi")).dropDuplicates(["payload_digest"])
-    long.join(again, "payload_digest", "left_anti").union(repeated).write.parquet(f"{path}/payloads")
+    long.join(again, "payload_digest", "left_anti").union(repeated).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _named_digest(header: Column) -> Column:
