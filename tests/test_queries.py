@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from lexivault import engine_queries  # noqa: F401  adds its queries
 from lexivault.queries import ORACLES, QUERIES
 
 from .oracle import compare
