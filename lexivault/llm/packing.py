@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from ._shared import stored
+from ._shared import lean, stored
 
 WINDOW, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
@@ -48,9 +48,9 @@ NEIGHBOURS = 32
 #: Terms that this part of a shard's documents have are held as whole rows of impacts.
 OFTEN = 1 / 4
 #: Token ids that are projected at a time, or one document's.
-PROJECTED = 50_000
+PROJECTED = 12_500
 #: Entries of a tokenizer's word cache; two generations of half that.
-CACHE = 400_000
+CACHE = 200_000
 #: Longer words aren't held.
 LONGEST_HELD = 64
 #: These are white space to Python and not to the tokenizers' pattern; texts with them are tokenized whole.
@@ -63,8 +63,8 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-
 END_OF_WORD = b"\xff"
 #: Signs that end a word as a piece: those of ASCII that begin no piece with letters and no special token.
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-GROUP_CHARS = 1 << 20
-BATCH_BYTES = 8 << 20
+GROUP_CHARS = 1 << 18
+BATCH_BYTES = 4 << 20
 
 
 class _Ids(dict):
@@ -160,6 +160,12 @@ def tokenizer(name: str) -> WordTokenizer:
     return _loaded[name]
 
 
+def let_go() -> None:
+    """Frees the tokenizers and their words, and gives what earlier tasks of this Python worker left back to the system."""
+    _loaded.clear()
+    lean()
+
+
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("df", pa.binary()), ("leaf", pa.int64())])
 
 
@@ -254,6 +260,7 @@ def _tokenize(name: str, held=None):
     """``held``: a broadcast of idf, mean length and tree; without it all documents are in leaf 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         t = tokenizer(name)
         idf, mean, tree = held.value if held is not None else (None, 1.0, None)
         projection = Projection(idf, mean) if tree is not None else None
@@ -286,6 +293,7 @@ def _tokenize(name: str, held=None):
                     if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
                         rows, size = [], 0
+                        lean()
                 at += len(group)
         if count:
             rows.append((None, count, total, None, df.tobytes(), None))
@@ -373,7 +381,8 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n = np.array([len(d) for d in docs], dtype=np.int64)
         size = len(idf)
-        pair = np.repeat(np.arange(len(docs)), n) * size + np.concatenate(docs)
+        pair = np.repeat(np.arange(len(docs), dtype=np.uint32 if len(docs) * size <= 1 << 32 else np.int64) * size, n)
+        pair += np.concatenate(docs).astype(pair.dtype, copy=False)
         pair.sort()
         cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         tf = np.diff(np.concatenate([cut, [len(pair)]]))
@@ -501,6 +510,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
         return [pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         names = [f.split()[0] for f in schema.split(", ")]
         now, ids, keys, docs_ = None, [], [], []
         for batch in batches:
@@ -508,6 +518,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
                 if shard != now:
                     if docs_:
                         yield pa.RecordBatch.from_arrays(one(now, ids, keys, docs_), names=names)
+                        ids = keys = docs_ = None
+                        lean()
                     now, ids, keys, docs_ = shard, [], [], []
                 ids.append(doc)
                 keys.append(key)

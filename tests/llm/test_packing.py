@@ -209,3 +209,32 @@ def test_shards_of_short_documents_are_bounded(spark):
     for x in got:
         per[x.sequence_id >> 32] += x.start == 0
     assert sum(per.values()) == 3000 and max(per.values()) <= 500
+
+
+def test_filling_lets_go_of_the_tokenizers_memory():
+    """A Python worker that has tokenized fills windows next: the words it held aren't kept beside the index."""
+    import subprocess
+    import sys
+
+    code = """
+import lexivault.llm.packing as P
+def held():
+    return int(next(l for l in open("/proc/self/status") if l.startswith("VmRSS")).split()[1]) >> 10
+t = P.tokenizer(P.TOKENIZER)
+begin = held()
+t.encode([" ".join(f"w{i:x}q" for i in range(300_000))])
+del t
+full = held()
+P.let_go()
+print(begin, full, held(), len(P._loaded))
+"""
+    begin, full, left, loaded = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert loaded == 0 and full - begin > 30 and full - left > (full - begin) * 0.7, (begin, full, left)
+
+
+def test_an_index_beyond_32_bits_of_document_and_id():
+    """Documents times ids are numbered in 32 bits only where these hold them."""
+    docs = [np.array([d % 7, 49_151, d % 5], dtype=np.uint16) for d in range(90_000)]
+    index = P.Index(docs, np.ones(49_152), 3.0)
+    for d in (0, 1, 87_380, 87_381, 87_382, 89_999):
+        assert index.token[index.of[d] : index.of[d + 1]].tolist() == sorted(set(docs[d].tolist()))
