@@ -49,7 +49,7 @@ NEIGHBOURS = 32
 OFTEN = 1 / 4
 #: Token ids that are projected at a time, or one document's.
 PROJECTED = 12_500
-#: Entries of a tokenizer's word cache; two generations of half that.
+#: Entries of a tokenizer's cache of words that are merged on their own; two generations of half that.
 CACHE = 200_000
 #: Longer words aren't held.
 LONGEST_HELD = 64
@@ -60,9 +60,18 @@ _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: The tokenizer's own pattern of pieces, a fixed value, and the same for lower-cased plain words.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-END_OF_WORD = b"\xff"
+#: No piece holds white space, so this is free to end one.
+END_OF_WORD = b" "
 #: Signs that end a word as a piece: those of ASCII that begin no piece with letters and no special token.
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Classes of characters, that of the last stands for all beyond, and what plain ones are lower-cased to. A word with a
+#: strange character is merged on its own; signs of class ``MARK`` stand for it (``HOLE``) and for a text's end (``STOP``).
+SPACE, LETTER, SIGN, DIGIT, MARK, STRANGE = range(6)
+STOP, HOLE = 1, 2
+_CLASS = np.array([SPACE if c.isspace() else STRANGE if not _PLAIN.fullmatch(c) else LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN for c in map(chr, range(0x3002))], dtype=np.uint8)
+_LOWER = np.array([ord(chr(k).lower()) if LETTER <= c <= DIGIT else 32 for k, c in enumerate(_CLASS.tolist())], dtype=np.uint8)
+#: Second and third character of the contractions that are pieces of their own.
+_SHORT, _LONG = np.frombuffer(b"stmd", np.uint8), [tuple(x) for x in (b"re", b"ve", b"ll")]
 GROUP_CHARS = 1 << 18
 BATCH_BYTES = 4 << 20
 
@@ -94,8 +103,9 @@ class WordTokenizer:
 
     Words of ASCII and Latin letters are merged by ``tiktoken``'s core, which is many times as fast. That gives the same
     ids where a merge's rank is its id's place and the merges of every vocabulary entry lead to it, an end of word being
-    a byte of its own that UTF-8 never has; ``_quick`` is None for files of another kind. All other words, and texts
-    with odd white space, go to ``tokenizers``.
+    a blank; ``_quick`` is None for files of another kind. All other words, and texts with odd white space, go to
+    ``tokenizers``. ``encode_all`` has the core merge all plain words of many texts in one call: what Python does for a
+    word costs more than its merges, above all where a large table's many different words miss the cache.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -105,7 +115,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._quick = self._merger(path)
+        self._core = self._merger(path)
+        self._quick = self._core and self._core.encode_single_piece
         self._held = _Ids(self._word, most)
 
     def _merger(self, path: str):
@@ -124,7 +135,10 @@ class WordTokenizer:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
         ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + (END_OF_WORD if t.endswith("</w>") else b""): k for t, k in model["vocab"].items() if t not in special}
-        return tiktoken.Encoding(os.path.basename(path), pat_str=r"[^\s]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        if len(ranks) < len(model["vocab"].keys() - special) or any(bytes([m]) + END_OF_WORD not in ranks for m in (STOP, HOLE)):
+            return None
+        # with no special token at all, the core would look for an empty one at every place
+        return tiktoken.Encoding(os.path.basename(path), pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\0": self.size})._core_bpe
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -144,6 +158,87 @@ class WordTokenizer:
         held = self._held.__getitem__
         return [self._direct(t) if _ODD.search(t) else b"".join(map(held, t.split())) for t in texts]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same ids as ``encode``; plain words are cut into pieces, and merged, all at once."""
+        if self._core is None or not texts:
+            return self.encode(texts)
+        odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
+        kept = texts
+        if odd:
+            kept = list(texts)
+            for k in odd:
+                kept[k] = ""
+        whole = "\n".join([*kept, "", ""])  # two places follow every text
+        try:
+            code = np.frombuffer(whole.encode("latin-1"), dtype=np.uint8)
+        except UnicodeEncodeError:
+            code = np.minimum(np.frombuffer(whole.encode("utf-32-le"), dtype="<u4"), len(_CLASS) - 1)
+        kind, low = _CLASS[code], _LOWER[code]
+        words = self._cut_out(whole, kind, low)
+        stop = np.cumsum([len(t) + 1 for t in kept]) - 1
+        kind[stop], low[stop] = MARK, STOP
+        ids = np.frombuffer(self._core.encode_to_tiktoken_buffer(_spaced(whole, kind, low), set()), dtype=np.uint32)
+        end = np.flatnonzero(ids == self._quick(bytes([STOP]) + END_OF_WORD)[0])
+        if words:
+            made = list(map(self._held.__getitem__, words))
+            hole = ids == self._quick(bytes([HOLE]) + END_OF_WORD)[0]
+            count = np.ones(len(ids), dtype=np.int64)
+            count[hole] = [len(m) // self.dtype.itemsize for m in made]
+            ids, end = np.repeat(ids.astype(self.dtype), count), np.cumsum(count)[end] - 1
+            ids[np.repeat(hole, count)] = np.frombuffer(b"".join(made), dtype=self.dtype)
+        coded, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        begin = 0
+        found = []
+        for e in end.tolist():
+            found.append(coded[begin * size : e * size])
+            begin = e + 1
+        for k in odd:
+            found[k] = self._direct(texts[k])
+        return found
+
+    @staticmethod
+    def _cut_out(whole: str, kind: np.ndarray, low: np.ndarray) -> list[str]:
+        """Words with strange characters or the beginning of a special token; each leaves a hole."""
+        strange = kind == STRANGE
+        if "<|" in whole:
+            strange[:-1] |= (low[:-1] == ord("<")) & (low[1:] == ord("|"))
+        if not strange.any():
+            return []
+        space = np.concatenate([[True], kind == SPACE])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        some = np.concatenate([[0], np.cumsum(strange)])
+        begin, end = edge[::2], edge[1::2]
+        cut = some[begin] < some[end]
+        begin, end = begin[cut], end[cut]
+        inside = np.zeros(len(kind), dtype=np.int8)
+        inside[begin], inside[end] = 1, -1
+        inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+        kind[inside], low[inside] = SPACE, 32
+        kind[begin], low[begin] = MARK, HOLE
+        return [whole[b:e] for b, e in zip(begin.tolist(), end.tolist())]
+
+
+def _spaced(whole: str, kind: np.ndarray, low: np.ndarray) -> str:
+    """Lower-cased plain text with a blank after every piece: as ``_PIECE`` finds them in each word."""
+    here, after = kind[:-1], kind[1:]
+    cut = ((here != after) | (after >= DIGIT)) & (here != SPACE) & (after != SPACE)
+    if "'" in whole:
+        # a contraction begins a word or follows a letter, a digit or another one; after other signs it is one of them
+        at = np.flatnonzero((low == ord("'")) & (np.concatenate([[SPACE], here]) != SIGN))
+        long = np.zeros(len(at), dtype=bool)
+        for a, b in _LONG:
+            long |= (low[at + 1] == a) & (low[at + 2] == b)
+        short = np.isin(low[at + 1], _SHORT)
+        cut[at[short | long]] = False
+        last = np.concatenate([at[short] + 1, at[long] + 2])
+        cut[last] |= kind[last + 1] == LETTER
+    place = np.flatnonzero(cut)
+    spaced = np.full(len(low) + len(place), 32, dtype=np.uint8)
+    own = np.ones(len(spaced), dtype=bool)
+    own[place + np.arange(1, len(place) + 1)] = False
+    spaced[own] = low
+    return spaced.tobytes().decode("latin-1")
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -277,12 +372,14 @@ def _tokenize(name: str, held=None):
                 while at + len(group) < len(ids) and chars < GROUP_CHARS:
                     group.append(texts[at + len(group)].as_py())
                     chars += len(group[-1])
-                codes = [coded + end for coded in t.encode(group)]
+                codes = [coded + end for coded in t.encode_all(group)]
                 owns = [np.frombuffer(coded, dtype=t.dtype) for coded in codes]
-                leaf: list[int] = []
+                vectors = []
                 for n, terms in terms_of(owns, t.size):
                     df += np.bincount(terms[1], minlength=t.size)
-                    leaf += [0] * len(n) if projection is None else tree.leaves(projection.of_terms(n, *terms)).tolist()
+                    if projection is not None:
+                        vectors.append(projection.of_terms(n, *terms))
+                leaf = tree.leaves(np.concatenate(vectors)).tolist() if vectors else [0] * len(owns)
                 for doc, coded, own, place in zip(ids[at : at + len(group)], codes, owns, leaf):
                     total += len(own)
                     count += 1
