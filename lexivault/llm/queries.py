@@ -17,6 +17,8 @@ _WHERE = {
     "op8_packing": ("packing", "op8_packing", None),
     "op9_url_filter": ("url_filter", "op9_url_filter", "ORACLE"),
     "op10_html_extract": ("html_extract", "op10_html_extract", None),
+    "op11_vector_codes": ("vector_codes", "op11_vector_codes", "ORACLE"),
+    "op12_quality_classifier": ("quality_classifier", "op12_quality_classifier", None),
     "op13_fill_middle": ("fill_middle", "op13_fill_middle", "ORACLE"),
 }
 
