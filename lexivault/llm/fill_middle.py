@@ -5,7 +5,8 @@
 2. For each distinct text, once, the places at which its code points begin in UTF-8 are kept as an Elias-Fano list: they
    rise, so the low bits of each stand side by side and the high bits are a bit map with a one for each place. The
    place of every 1,024th one is kept too, so a look-up reads a bounded piece of the map.
-3. Documents hold their text's SHA-256 only and join the index by it; a text of very many documents is dealt (``salted_join``).
+3. Documents hold their text's SHA-256 only and join the index by it; a text of very many documents is dealt
+   (``salted_join``), and one of a single document brings it along and isn't moved again.
 4. Each document's two cuts follow from its seed and are selected from the list; the text is cut at bytes, never decoded.
 """
 
@@ -94,11 +95,13 @@ def restored(output: Column, form: Column) -> Column:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as its SHA-256, size and packed bytes; the others as they are."""
     codec = pa.Codec("zstd", compression_level=3)
     for batch in batches:
-        texts = [memoryview(v.as_buffer()) for v in batch.column(0)]
+        texts = [memoryview(v.as_buffer()) for v in batch.column(batch.num_columns - 1)]
         digests = [hashlib.sha256(t).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], names=["digest", "size", "packed"])
+        made = [pa.array(digests, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "digest", "size", "packed"])
 
 
 def _unpack(packed, size: int) -> bytes:
@@ -118,11 +121,23 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n", "marked", "bits", "low", "high", "jumps"])
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows whose last column is a text in bytes, with that text packed."""
+    names = rows.columns[:-1]
+    kept = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+    return rows.mapInArrow(_pack, kept + "digest binary, size long, packed binary")
+
+
+def _indexed(texts: DataFrame) -> DataFrame:
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInArrow(_index, kept + ", n long, marked boolean, bits int, low binary, high binary, jumps array<long>")
+
+
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``digest, size, packed, copies, n, marked, bits, low, high, jumps``: a row for each different text (null: empty), with
     its boundaries as an Elias-Fano list and whether it holds a marker."""
-    texts = docs.select(F.coalesce(named(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(_pack, "digest binary, size long, packed binary")
-    return texts.groupBy("digest", "size", "packed").agg(F.count("*").alias("copies")).mapInArrow(_index, "digest binary, size long, packed binary, copies long, n long, marked boolean, bits int, low binary, high binary, jumps array<long>")
+    texts = _packed(docs.select(F.coalesce(named(text_col), F.lit("")).cast("binary").alias("text")))
+    return _indexed(texts.groupBy("digest", "size", "packed").agg(F.count("*").alias("copies")))
 
 
 def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, cut: int = CUT, spm: int = SPM) -> DataFrame:
@@ -139,8 +154,14 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given, kept = beside(docs, (id_col,), F.coalesce(named(text_col), F.lit("")))
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("c0").cast("string"), F.lit(""))).cast("binary"), 256)
     numbers = [F.conv(F.substring(hashed, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
-    rows = stored(given.select("c0", F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("digest"), *numbers), "fim-rows")
-    joined = salted_join(rows, distinct_texts(docs, text_col).drop("copies"), "digest", name="fim")
+    text = F.col("value").cast("binary")
+    rows = stored(given.select("c0", F.unhex(F.sha2(text, 256)).alias("digest"), *numbers), "fim-rows")
+    own = ("c0", "h1", "h2", "h3", "h4")
+    texts = _packed(given.select("c0", *numbers, text.alias("text"))).groupBy("digest", "size", "packed").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in own])
+    # a text of one document has that document's row with it; the others' documents are joined to it. Both take the same
+    # columns of the grouping, so that it is made once
+    alone = _indexed(texts.where("copies = 1").drop("copies"))
+    joined = salted_join(rows, _indexed(texts.where("copies > 1").drop("copies")).drop(*own), "digest", name="fim").select(*alone.columns).unionAll(alone)
     first, second = (F.pmod(F.col(h), F.col("n") + 1) for h in ("h1", "h2"))
     form = F.when((F.col("n") == 0) | F.col("marked") | (F.pmod("h3", F.lit(100)) >= cut), "plain").when(F.pmod("h4", F.lit(100)) < spm, "spm").otherwise("psm")
     asked = joined.select("c0", "n", form.alias("form"), F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), "digest", "size", "packed", "bits", "low", "high", "jumps")
