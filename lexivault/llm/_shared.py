@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
 from ..runtime import stored
 
 __all__ = ["beside", "connected_components", "lean", "named", "release", "salted_join", "stored"]
@@ -67,20 +68,3 @@ def connected_components(vertices: DataFrame, edges: DataFrame, name: str = "com
             break
         cur = nxt
     return vertices.join(nxt.select(F.col("a").alias("id"), F.col("b").alias("component_id")), "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
-
-
-def salted_join(rows: DataFrame, unique: DataFrame, key: str, most: int = 512, name: str = "salted") -> DataFrame:
-    """Every row of ``rows`` with the one row of ``unique`` that has the same ``key`` (rows without one go).
-
-    A key that may hold a third of all rows is dealt: beyond ``most`` rows of a key, its rows go to parts of about ``most``
-    and its row of ``unique`` to each of them. The list of such keys has at most one in ``most`` of the rows; Spark
-    chooses by its size how it is joined. ``rows`` should be a stored table or a scan, so that a repeated task deals
-    its rows as before. Null keys find nothing.
-    """
-    heavy = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_parts")), f"{name}-heavy")
-    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(13))
-    dealt = rows.where(F.col(key).isNotNull()).withColumn("_place", place).join(heavy, key, "left")
-    dealt = dealt.withColumn("_part", F.coalesce(F.pmod("_place", "_parts"), F.lit(0)).cast("int")).drop("_parts", "_place")
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-    copied = unique.join(heavy, key, "left").withColumn("_part", parts).drop("_parts")
-    return dealt.join(copied, [key, "_part"]).drop("_part")
