@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fts import sanitized
 from ..functions.text import excerpt, glob
+from ..operators.blocks import BlockIndex, plain_words, top_query
 from ..operators.dense import nearest
 from ..operators.fusion import fuse, fused_order, single_pool
 from ..operators.lexical import bm25, bm25_postings, rank_bm25
@@ -44,7 +45,8 @@ class Filters:
 
 @dataclass
 class Searcher:
-    """``chunks`` and ``vectors`` (``chunk_id, embedding``) of an index; ``postings`` and ``stats`` where it has them."""
+    """``chunks`` and ``vectors`` (``chunk_id, embedding``) of an index; ``postings`` and ``stats`` where it has them, and
+    ``blocks``, by which unfiltered searches for words read the blocks only that can hold a result."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -52,9 +54,13 @@ class Searcher:
     postings: DataFrame | None = None
     stats: DataFrame | None = None
     metric: str = "l2"
+    blocks: BlockIndex | None = None
 
     def lexical_pool(self, query: str, k: int, filters: Filters) -> DataFrame:
         where = filters.condition()
+        words = plain_words(query) if self.blocks is not None and where is None else None
+        if words is not None:
+            return top_query(self.blocks, words[0], k, words[1])
         if self.postings is None:
             return rank_bm25(bm25(self.chunks, query, where), k)
         allowed = None if where is None else self.chunks.where(where).select("id")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import catalog, changes, fusion, lexical
+from .operators.batch import nearest_batch
+from .operators.blocks import BlockIndex, top_batch, top_query
 from .operators.dense import nearest
 from .plans.search import Filters, Searcher
+from .plans.segments import SegmentStore
 from .runtime import shared_dir, stored
 from .sources import corpus
 from .sources.walk import DEFAULT_EXCLUDES, EXTENSIONS
@@ -97,6 +100,18 @@ def stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return _INDEXES[key]
 
 
+_BLOCKS: dict[tuple[str, str], BlockIndex] = {}
+
+
+def stored_blocks(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The stored index's postings in blocks, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BLOCKS:
+        _, places, stats = stored_index(spark, sf_dir)
+        _BLOCKS[key] = BlockIndex.of(places, stats).stored("index-blocks")
+    return _BLOCKS[key]
+
+
 def _searcher(spark: SparkSession, sf_dir: str) -> Searcher:
     """Over the stored index."""
     chunks, places, stats = stored_index(spark, sf_dir)
@@ -210,6 +225,110 @@ def tok_vocab(spark, d):
     return per.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
 
 
+# --- many queries at once, and the best rows without reading all postings -----------------------------------------------
+
+#: Rows to a query, and the rows that are queries: those whose id is divisible by it.
+BATCH_K, BATCH_OF = 10, 100
+_SPOKEN = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '')"
+_IDF = "(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6::DOUBLE END)"
+
+
+def _top_sql(asked: str, k: int, every: bool = False, tokens: str = TOKENS) -> str:
+    """``asked``: ``query, term``."""
+    held = "HAVING count(*) = (SELECT count(*) FROM asked)" if every else ""
+    return f"""WITH {tokens}, asked AS ({asked}), w AS (SELECT id, unnest(t) AS term FROM tokens), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT id, len(t) AS dl FROM tokens),
+s AS (SELECT query, tf.id, sum(round(1e12 * {_IDF} * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))::BIGINT) / 1e12 AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id, stats GROUP BY query, tf.id {held})
+SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {k}"""
+
+
+@query("search_bm25_batch", _top_sql(f"SELECT DISTINCT query, term FROM (SELECT doc_id AS query, unnest({_SPOKEN}) AS term FROM documents WHERE doc_id % {BATCH_OF} = 0)", BATCH_K))
+def search_bm25_batch(spark, d):
+    asked = corpus.table(spark, d, "documents").where(F.col("doc_id") % BATCH_OF == 0)
+    words = asked.select(F.col("doc_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return _rounded(top_batch(stored_blocks(spark, d), words, BATCH_K), "score")
+
+
+@query("search_dense_batch", f"SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % {BATCH_OF} = 0 QUALIFY rank <= {BATCH_K}")
+def search_dense_batch(spark, d):
+    vectors = corpus.vectors(spark, d)
+    asked = vectors.where(F.col("chunk_id") % BATCH_OF == 0).select(F.col("chunk_id").alias("query"), "embedding")
+    return _rounded(nearest_batch(vectors, asked, BATCH_K), "distance")
+
+
+def _top(name: str, words: str, every: bool = False) -> None:
+    asked = "SELECT 0 AS query, unnest([" + ", ".join(f"'{w}'" for w in words.lower().replace(" or ", " ").replace(" and ", " ").split()) + "]) AS term"
+
+    @query(name, f"SELECT id, score, rank FROM ({_top_sql(asked, 20, every)})")
+    def run(spark, d):
+        searcher = _searcher(spark, d)
+        searcher.blocks = stored_blocks(spark, d)
+        return _rounded(searcher.lexical_pool(words, 20, Filters()).select("id", "score", "rank"), "score")
+
+
+_top("search_top_common", "the")
+_top("search_top_or", "apache OR license OR reserved")
+_top("search_top_and", "apache AND license", True)
+
+
+# --- an index kept current by segments ----------------------------------------------------------------------------------
+
+#: Chunks of documents after two changes, which give new ids: of ten documents one comes, one grows, one goes; then of
+#: twenty one that had grown goes too, and of thirty one is replaced again.
+_STATE = """state AS (
+  SELECT doc_id AS id, doc_id, text FROM documents WHERE doc_id % 10 NOT IN (0, 1, 2) AND doc_id % 30 <> 5
+  UNION ALL SELECT doc_id + 1000000, doc_id, text FROM documents WHERE doc_id % 10 = 0
+  UNION ALL SELECT doc_id + 1000000, doc_id, text || ' apache license' FROM documents WHERE doc_id % 10 = 2 AND doc_id % 20 <> 2
+  UNION ALL SELECT doc_id + 2000000, doc_id, 'license ' || text FROM documents WHERE doc_id % 30 = 5),
+tokens AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(text)) || ' ' || strip_accents(lower(source)) || ' ' || strip_accents(lower(lang)), '[^\\p{L}\\p{N}\\p{Co}]+'), lambda x: x <> '') AS t FROM state JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id)),
+stats AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM tokens)"""
+_SEGMENTS: dict[tuple[str, str], SegmentStore] = {}
+
+
+def segment_store(spark: SparkSession, sf_dir: str) -> SegmentStore:
+    """An index of the corpus after those changes and merges, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEGMENTS:
+        store = SegmentStore(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+        docs = corpus.chunks(spark, sf_dir).select("id", F.concat(F.lit("d"), F.col("id").cast("string")).alias("path"), "name", "scope", "content")
+        of = lambda ten, by=10: F.col("id") % by == ten
+        store.change(docs.where(~of(0)))
+        grown = docs.where(of(2)).withColumn("content", F.concat("content", F.lit(" apache license")))
+        store.change(docs.where(of(0)).unionAll(grown).withColumn("id", F.col("id") + 1_000_000), docs.where(of(1)).select("path"))
+        again = docs.where(of(5, 30)).select((F.col("id") + 2_000_000).alias("id"), "path", "name", "scope", F.concat(F.lit("license "), "content").alias("content"))
+        store.change(again, docs.where(of(2, 20)).select("path"))
+        store.compact()
+        _SEGMENTS[key] = store
+    return _SEGMENTS[key]
+
+
+@query("segments_live", f"WITH {_STATE} SELECT id, md5(text) AS digest, len(t)::BIGINT AS tokens FROM state JOIN tokens USING (id)")
+def segments_live(spark, d):
+    return segment_store(spark, d).chunks().select("id", F.md5(F.col("content").cast("binary")).alias("digest"), F.col("dl").alias("tokens"))
+
+
+@query("segments_terms", f"WITH {_STATE} SELECT term, count(DISTINCT id) AS docs FROM (SELECT id, unnest(t) AS term FROM tokens) GROUP BY term")
+def segments_terms(spark, d):
+    return segment_store(spark, d).index().dictionary.select("term", "docs")
+
+
+@query("segments_stats", f"WITH {_STATE} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def segments_stats(spark, d):
+    return _rounded(segment_store(spark, d).index().stats, "avgdl")
+
+
+def _over_segments(name: str, words: list[str], every: bool) -> None:
+    asked = "SELECT 0 AS query, unnest([" + ", ".join(f"'{w}'" for w in words) + "]) AS term"
+
+    @query(name, f"SELECT id, score, rank FROM ({_top_sql(asked, 20, every, _STATE)})")
+    def run(spark, d):
+        return _rounded(top_query(segment_store(spark, d).index(), words, 20, every), "score")
+
+
+_over_segments("segments_search_or", ["apache", "license"], False)
+_over_segments("segments_search_and", ["the", "license"], True)
+
+
 # --- filters and projections ------------------------------------------------------------------------------------------
 
 _PATHS = "SELECT c.id FROM chunks c WHERE "
