@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship, stored
@@ -25,7 +25,8 @@ BYTES = 2 << 20
 PART = 32
 
 
-def _usable(column: str):
+def usable(column: str) -> Column:
+    """Whether a vector holds finite numbers only, and some."""
     x = F.col(column)
     return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
@@ -81,8 +82,8 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, part: int = PA
     """
     ship(vectors.sparkSession)
     double = F.col("embedding").cast("array<double>").alias("x")
-    rows = vectors.select(F.col("chunk_id").cast("long").alias("id"), double).where(F.col("id").isNotNull() & _usable("x"))
-    asked = queries.select(F.col("query").cast("long").alias("id"), double).where(F.col("id").isNotNull() & _usable("x"))
+    rows = vectors.select(F.col("chunk_id").cast("long").alias("id"), double).where(F.col("id").isNotNull() & usable("x"))
+    asked = queries.select(F.col("query").cast("long").alias("id"), double).where(F.col("id").isNotNull() & usable("x"))
     asked = stored(asked, "batch-asked")
     number = max(1, -(-asked.count() // QUERIES))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")).repartition("block").sortWithinPartitions("block", "id")

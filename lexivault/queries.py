@@ -13,6 +13,7 @@ from .operators import catalog, changes, fusion, lexical
 from .operators.batch import nearest_batch
 from .operators.blocks import BlockIndex, top_batch, top_query
 from .operators.dense import nearest
+from .operators.ivf import IvfIndex
 from .plans.search import Filters, Searcher
 from .plans.segments import SegmentStore
 from .runtime import shared_dir, stored
@@ -256,6 +257,22 @@ def search_dense_batch(spark, d):
     return _rounded(nearest_batch(vectors, asked, BATCH_K), "distance")
 
 
+_DENSE: dict[tuple[str, str], IvfIndex] = {}
+
+
+def dense_index(spark: SparkSession, sf_dir: str) -> IvfIndex:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DENSE:
+        _DENSE[key] = IvfIndex.build(corpus.vectors(spark, sf_dir))
+    return _DENSE[key]
+
+
+@query("search_dense_index", ORACLES["search_dense_batch"])
+def search_dense_index(spark, d):
+    asked = corpus.vectors(spark, d).where(F.col("chunk_id") % BATCH_OF == 0).select(F.col("chunk_id").alias("query"), "embedding")
+    return _rounded(dense_index(spark, d).search(asked, BATCH_K, exact=True), "distance")
+
+
 def _top(name: str, words: str, every: bool = False) -> None:
     asked = "SELECT 0 AS query, unnest([" + ", ".join(f"'{w}'" for w in words.lower().replace(" or ", " ").replace(" and ", " ").split()) + "]) AS term"
 
