@@ -20,6 +20,7 @@ from .runtime import shared_dir, stored
 from .sources import corpus
 from .sources.walk import DEFAULT_EXCLUDES, EXTENSIONS
 from .streaming import files as streaming
+from .streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,6 +642,33 @@ def stream_tumbling(spark, d):
     return streaming.stream_to_table(counts, name, f"{shared_dir(spark)}/{name}")
 
 
+#: Events as observations of files, in four parts of eight days; of twenty one comes a part later, of seven one says that
+#: the file is gone. What came when a day older than the newest before counts nowhere, what isn't yet a day old waits.
+_OBSERVED = """seen AS (SELECT 'user' || user_id || '/' || event_type AS path, floor(value) % 3 AS mtime, (event_id % 3)::BIGINT AS size, event_id % 7 = 0 AS gone, date_trunc('millisecond', ts) AS said,
+  least(floor(epoch(date_trunc('millisecond', ts) - TIMESTAMP '2024-01-01') / 691200)::INT + CASE WHEN event_id % 20 = 3 THEN 1 ELSE 0 END, 3) AS part FROM events),
+newest_of AS (SELECT p AS part, (SELECT max(said) FROM seen WHERE part < p) AS newest FROM range(4) t(p)),
+due AS (SELECT path, CASE WHEN gone THEN 0 ELSE mtime END AS mtime, CASE WHEN gone THEN 0 ELSE size END AS size, gone, said FROM seen JOIN newest_of USING (part)
+  WHERE (newest IS NULL OR said > newest - INTERVAL 1 DAY) AND said <= (SELECT max(said) - INTERVAL 1 DAY FROM seen)),
+steps AS (SELECT *, lag(gone, 1, true) OVER w AS was_gone, lag(mtime) OVER w AS was_mtime, lag(size) OVER w AS was_size FROM due WINDOW w AS (PARTITION BY path ORDER BY said, mtime, size, gone))"""
+_STATUS = "CASE WHEN gone THEN CASE WHEN NOT was_gone THEN 'removed' END WHEN was_gone THEN 'added' WHEN mtime <> was_mtime OR size <> was_size THEN 'changed' END"
+
+
+@query("stream_sync_state", f"WITH {_OBSERVED} SELECT path, {_STATUS} AS status, mtime::DOUBLE AS mtime, size, epoch_ms(said) AS at_ms FROM steps WHERE ({_STATUS}) IS NOT NULL")
+def stream_sync_state(spark, d):
+    """Four parts, each taken in by a query of its own that goes on from the checkpoint of the one before."""
+    events = corpus.table(spark, d, "events")
+    at = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
+    part = F.floor((F.unix_millis(at) / 1000 - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 691200).cast("int") + F.when(F.col("event_id") % 20 == 3, 1).otherwise(0)
+    path = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+    seen = events.select(path.alias("path"), (F.floor("value") % 3).cast("double").alias("mtime"), (F.col("event_id") % 3).cast("long").alias("size"), (F.col("event_id") % 7 == 0).alias("gone"), at.alias("at"), F.least(part, F.lit(3)).alias("part"))
+    place = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    rows = stored(seen, "observations")
+    for k in range(4):
+        rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in")
+        state.follow(spark.readStream.schema(rows.drop("part").schema).parquet(f"{place}/in"), f"{place}/out", f"{place}/checkpoint", partitions=8)
+    return spark.read.parquet(f"{place}/out").select("path", "status", "mtime", "size", F.unix_millis("at").alias("at_ms"))
+
+
 @query("stream_sync_foreachbatch", f"WITH {FILES} SELECT path, mtime, size FROM old")
 def stream_sync_foreachbatch(spark, d):
     place = f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}"
