@@ -15,26 +15,40 @@ SIZE_CAP = 1 << 20
 PROBE_BYTES = 8192
 
 
+#: The combining marks that belong to the token that they stand in, and vanish; other marks part tokens.
+VANISHING = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+
+
+def folded(letter: str) -> str:
+    """The simple case folding of one code point, whatever stands around it, and then the base letter of a Latin one with a
+    single diacritic; letters with two, or without a decomposition (such as sharp s), stay."""
+    out = next((x for x in (letter.casefold(), letter.lower()) if len(x) == 1), letter)
+    if unicodedata.category(letter)[0] not in "LN" or "\uab70" <= letter <= "\uabbf" or "\u13f8" <= letter <= "\u13fd":  # marks; small letters that fold to capitals
+        out = letter
+    parts = unicodedata.normalize("NFD", out)
+    return parts[0].lower() if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.combining(parts[1]) else out
+
+
 @cache
 def folding() -> tuple[str, str]:
-    """Lower-case Latin letters that are a base letter and diacritics, and their base letters. A rule over Unicode's
-    decompositions; letters without one (such as sharp s) stay."""
-    source, target = [], []
-    for point in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]) and parts[0].isascii() and chr(point) == chr(point).lower():
-            source.append(chr(point))
-            target.append(parts[0])
-    return "".join(source), "".join(target)
+    """All code points that change when folded, and what they become; last, without counterpart, the marks that vanish."""
+    pairs = [(c, f) for c in map(chr, [*range(0x41, 0xD800), *range(0xF900, 0x11000)]) if (f := folded(c)) != c]
+    return "".join(c for c, _ in pairs) + VANISHING, "".join(f for _, f in pairs)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), *folding())
+    """Lower case without diacritics, each code point by itself."""
+    return F.translate(text, *folding())
+
+
+@cache
+def _table() -> dict:
+    source, target = folding()
+    return str.maketrans(source[: len(target)], target, VANISHING)
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate(str.maketrans(*folding()))
+    return text.translate(_table())
 
 
 SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
