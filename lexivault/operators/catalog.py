@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_substring
+from ..runtime import stored
+from .skew import salted_join
+from .trigrams import NameIndex
 
 
 def _named(column: Column, name: str, exact: bool) -> Column:
     return column == name if exact else like_substring(column, name)
 
 
-def symbols(symbols_: DataFrame, chunks: DataFrame, name: str, kind: str = "def", exact: bool = False, language: str | None = None) -> DataFrame:
-    """``path, scope, language, name, line`` of symbols whose name is, or contains, ``name``, by path and line."""
+def symbols(symbols_: DataFrame, chunks: DataFrame, name: str, kind: str = "def", exact: bool = False, language: str | None = None, names: NameIndex | None = None) -> DataFrame:
+    """``path, scope, language, name, line`` of symbols whose name is, or contains, ``name``, by path and line. ``names``, an
+    index of the symbols' names, spares reading all of them."""
     if kind not in ("def", "ref"):
         raise ValueError(f"no such kind: {kind}")
-    found = symbols_.where((F.col("kind") == kind) & _named(F.col("name"), name, exact)).select(F.col("id").alias("_symbol"), "chunk_id", "name", "line")
+    named = symbols_.where(_named(F.col("name"), name, exact)) if names is None or exact else names.rows(symbols_, name)
+    found = named.where(F.col("kind") == kind).select(F.col("id").alias("_symbol"), "chunk_id", "name", "line")
     own = chunks if language is None else chunks.where(F.col("language") == language)
     out = found.join(own.select(F.col("id").alias("chunk_id"), "path", "scope", "language"), "chunk_id")
     return out.orderBy("path", "line", "_symbol").select("path", "scope", "language", "name", "line")
 
 
-def callers(edges: DataFrame, chunks: DataFrame, symbol: str, exact: bool = False, language: str | None = None, resolve: DataFrame | None = None) -> DataFrame:
+def callers(edges: DataFrame, chunks: DataFrame, symbol: str, exact: bool = False, language: str | None = None, resolve: DataFrame | None = None, names: NameIndex | None = None) -> DataFrame:
     """``path, scope, language, start_line, kind, dst_name`` of edges to ``symbol``, by path and line. ``resolve``, a
-    symbols table, adds ``resolved``: whether the target is defined there."""
-    found = edges.where(_named(F.col("dst_name"), symbol, exact)).select("src_chunk_id", "dst_name", F.col("kind").alias("_kind"))
+    symbols table, adds ``resolved``: whether the target is defined there. ``names``: an index of the edges' targets."""
+    named = edges.where(_named(F.col("dst_name"), symbol, exact)) if names is None or exact else names.rows(edges, symbol, "dst_name")
+    found = named.select("src_chunk_id", "dst_name", F.col("kind").alias("_kind"))
     own = chunks if language is None else chunks.where(F.col("language") == language)
     out = found.join(own.select(F.col("id").alias("src_chunk_id"), "path", "scope", "language", "start_line"), "src_chunk_id")
     shown = ["path", "scope", "language", "start_line", F.col("_kind").alias("kind"), "dst_name"]
@@ -59,3 +65,24 @@ def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         front = links.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         seen = seen.unionByName(front.withColumn("depth", F.lit(step)))
     return seen
+
+
+def closure(links: DataFrame, sources: DataFrame, name: str = "closure") -> DataFrame:
+    """``source, node, depth``: every node that can be reached from each of ``sources`` (``node``) over ``links`` (``src, dst``),
+    the source itself at 0, each at its least depth; cycles are walked once.
+
+    Semi-naive: a round joins only the pairs that the last one found, and those seen before leave. Each round's pairs are
+    written, so lineage stays short and a lost executor repeats one round; rounds are as many as the longest of all
+    shortest ways. A node in which very many ways meet is dealt to parts. Null nodes and links are ignored.
+    """
+    ways = stored(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), f"{name}-links").withColumnRenamed("src", "node")
+    seen = front = stored(sources.where("node IS NOT NULL").select(F.col("node").alias("source"), "node").distinct().withColumn("depth", F.lit(0)), name)
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        met = salted_join(front.select("node", "source"), ways, "node", most=4096, name=name).select("source", F.col("dst").alias("node")).distinct()
+        front = stored(met.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), name)
+        seen = seen.unionByName(front)
+        if depth % 8 == 0:
+            seen = stored(seen, name)
+    return seen

@@ -17,7 +17,9 @@ from .operators.ivf import IvfIndex
 from .plans.search import Filters, Searcher
 from .plans.segments import SegmentStore
 from .runtime import shared_dir, stored
+from .operators.trigrams import NameIndex
 from .sources import corpus
+from .sources.layout import Layout
 from .sources.walk import DEFAULT_EXCLUDES, EXTENSIONS
 from .streaming import files as streaming
 from .streaming import state
@@ -525,6 +527,45 @@ def graph_resolved(spark, d):
 _LINKS = f"{EDGES}, links AS (SELECT DISTINCT c.scope AS src, e.dst_name AS dst FROM edges e JOIN page_chunks c ON c.id = e.src_chunk_id UNION SELECT DISTINCT e.dst_name, c.scope FROM edges e JOIN page_chunks c ON c.id = e.src_chunk_id)"
 
 
+_NAMES: dict[tuple[str, str, str], NameIndex] = {}
+
+
+def name_index(spark: SparkSession, sf_dir: str, kind: str) -> NameIndex:
+    """Over symbols' names or edges' targets, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _NAMES:
+        _NAMES[key] = NameIndex.of(corpus.symbols(spark, sf_dir)) if kind == "symbols" else NameIndex.of(corpus.edges(spark, sf_dir), "dst_name")
+    return _NAMES[key]
+
+
+def _by_names(name: str, pattern: str, kind: str = "def") -> None:
+    @query(name, _symbol_sql(f"s.kind = '{kind}' AND s.name LIKE '%{pattern}%'"))
+    def run(spark, d):
+        return _symbols(spark, d, pattern, kind=kind, names=name_index(spark, d, "symbols"))
+
+
+_by_names("sym_names_substr", "tion")
+_by_names("sym_names_wild", "the_e%an", "ref")
+_by_names("sym_names_short", "Of", "ref")
+
+
+@query("graph_names_substr", _edge_sql("e.dst_name LIKE '%the%'"))
+def graph_names_substr(spark, d):
+    return catalog.callers(corpus.edges(spark, d), corpus.page_chunks(spark, d), "the", names=name_index(spark, d, "edges"))
+
+
+#: A directed graph with many cycles: each line's part leads to that of the next line of its order.
+_NEXT = "links AS (SELECT DISTINCT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem)"
+
+
+@query("graph_closure", f"WITH RECURSIVE {_NEXT}, walk AS (SELECT DISTINCT src AS source, src AS node FROM links WHERE src % {BATCH_OF} = 0 UNION SELECT w.source, l.dst FROM walk w JOIN links l ON l.src = w.node WHERE l.dst IS NOT NULL) SELECT source, node FROM walk")
+def graph_closure(spark, d):
+    lines = corpus.table(spark, d, "lineitem")
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    links = lines.select(F.col("l_partkey").alias("src"), following.alias("dst"))
+    return catalog.closure(links, links.where(F.col("src") % BATCH_OF == 0).select(F.col("src").alias("node"))).select("source", "node")
+
+
 @query("graph_depth2", f"WITH RECURSIVE {_LINKS}, walk AS (SELECT (SELECT min(scope) FROM page_chunks) AS node, 0 AS depth UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.node WHERE w.depth < 2) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node")
 def graph_depth2(spark, d):
     pages = corpus.page_chunks(spark, d)
@@ -635,6 +676,24 @@ def sink_roundtrip(spark, d):
     return stored(corpus.chunks(spark, d).repartition("language"), "chunks").select("id", "path", "language", "end_line", "kind")
 
 
+def _layout(spark: SparkSession, sf_dir: str) -> Layout:
+    """A layout of its own; where tables have been dropped their files go too."""
+    return Layout(spark, f"layout_{uuid.uuid4().hex}").write(corpus.chunks(spark, sf_dir), corpus.vectors(spark, sf_dir))
+
+
+@query("layout_join", f"WITH {CHUNKS} SELECT c.id, c.path, round(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x)), 6) AS squares FROM chunks c JOIN embeddings e ON e.vec_id = c.id WHERE c.language = 'de'")
+def layout_join(spark, d):
+    squares = F.aggregate(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
+    return _rounded(_layout(spark, d).with_vectors("de").select("id", "path", squares.alias("squares")), "squares")
+
+
+@query("layout_replace", f"WITH {CHUNKS} SELECT id, language, CASE WHEN language IN ('de', 'fr') THEN upper(name) ELSE name END AS name FROM chunks WHERE language NOT IN ('de', 'fr') OR id % 2 = 0")
+def layout_replace(spark, d):
+    made = _layout(spark, d)
+    made.replace(made.chunks.where(F.col("language").isin("de", "fr") & (F.col("id") % 2 == 0)).withColumn("name", F.upper("name")))
+    return made.chunks.select("id", "language", "name")
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     name = f"tumbling_{uuid.uuid4().hex}"
@@ -650,10 +709,10 @@ newest_of AS (SELECT p AS part, (SELECT max(said) FROM seen WHERE part < p) AS n
 due AS (SELECT path, CASE WHEN gone THEN 0 ELSE mtime END AS mtime, CASE WHEN gone THEN 0 ELSE size END AS size, gone, said FROM seen JOIN newest_of USING (part)
   WHERE (newest IS NULL OR said > newest - INTERVAL 1 DAY) AND said <= (SELECT max(said) - INTERVAL 1 DAY FROM seen)),
 steps AS (SELECT *, lag(gone, 1, true) OVER w AS was_gone, lag(mtime) OVER w AS was_mtime, lag(size) OVER w AS was_size FROM due WINDOW w AS (PARTITION BY path ORDER BY said, mtime, size, gone))"""
-_STATUS = "CASE WHEN gone THEN CASE WHEN NOT was_gone THEN 'removed' END WHEN was_gone THEN 'added' WHEN mtime <> was_mtime OR size <> was_size THEN 'changed' END"
+_CHANGE = "CASE WHEN gone THEN CASE WHEN NOT was_gone THEN 'removed' END WHEN was_gone THEN 'added' WHEN mtime <> was_mtime OR size <> was_size THEN 'changed' END"
 
 
-@query("stream_sync_state", f"WITH {_OBSERVED} SELECT path, {_STATUS} AS status, mtime::DOUBLE AS mtime, size, epoch_ms(said) AS at_ms FROM steps WHERE ({_STATUS}) IS NOT NULL")
+@query("stream_sync_state", f"WITH {_OBSERVED} SELECT path, {_CHANGE} AS status, mtime::DOUBLE AS mtime, size, epoch_ms(said) AS at_ms FROM steps WHERE ({_CHANGE}) IS NOT NULL")
 def stream_sync_state(spark, d):
     """Four parts, each taken in by a query of its own that goes on from the checkpoint of the one before."""
     events = corpus.table(spark, d, "events")
