@@ -68,6 +68,10 @@ def _places(phrase: Phrase, column: str) -> Column:
     return F.filter(found, lambda i: i == 1) if phrase.initial else found
 
 
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda i: i - k
+
+
 Places = Callable[[Phrase, str], Column]
 
 
@@ -185,7 +189,8 @@ def bm25_postings(index: DataFrame, stats: DataFrame, query: str, allowed: DataF
         held = [F.col(f"_p{terms[(word, phrase.prefix and k == n - 1)]}_{column}") for k, word in enumerate(phrase.words)]
         found = held[0]
         if n > 1:
-            found = F.filter(found, lambda i: reduce(lambda a, b: a & b, [F.array_contains(held[k], i + k) for k in range(1, n)]))
+            # sets of places, each moved back by its word's number
+            found = reduce(F.array_intersect, [F.transform(held[k], _back(k)) for k in range(1, n)], found)
         return F.filter(found, lambda i: i == 1) if phrase.initial else found
 
     gathered = [F.sort_array(F.flatten(F.collect_list(F.when(c, F.col(column))))).alias(f"_p{terms[key]}_{column}") for key, c in is_term.items() for column in COLUMNS]

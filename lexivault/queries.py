@@ -13,6 +13,7 @@ from .operators import catalog, changes, fusion, lexical
 from .operators.batch import nearest_batch
 from .operators.blocks import BlockIndex, top_batch, top_query
 from .operators.dense import nearest
+from .operators.ignores import visible
 from .operators.ivf import IvfIndex
 from .plans.search import Filters, Searcher
 from .plans.segments import SegmentStore
@@ -406,6 +407,18 @@ def flt_ignores(spark, d):
     return _walked(spark, d).where(~T.ignored(F.col("path"), ["*.min.js", "/docs/guide", "lib/**/", "# a comment", ""]))
 
 
+#: Ignore files of a tree made of the documents: folder, line.
+_IGNORES = (("", "*.log"), ("", "!*5.log"), ("", "/src4"), ("src1", "*.py"), ("src1", "!*7.py"), ("src1/de", "*7.py"), ("src2", "fr/"), ("src3/en", "# a comment"), ("src3/en", ""), ("src3/en", "src1?/"))
+_TREE = "'src' || doc_id % 5 || '/' || lang || '/' || source || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.log' ELSE '.py' END"
+
+
+@query("flt_nested_ignores", f"""SELECT doc_id, path FROM (SELECT doc_id, {_TREE} AS path FROM documents) WHERE NOT (path LIKE '%.log' AND path NOT LIKE '%5.log' OR path LIKE 'src4/%'
+  OR path LIKE 'src1/%.py' AND path NOT LIKE '%7.py' OR path LIKE 'src1/de/%7.py' OR path LIKE 'src2/fr/%' OR regexp_matches(path, '^src2/.*/fr/') OR regexp_matches(path, '^src3/en/src1[^/]/'))""")
+def flt_nested_ignores(spark, d):
+    paths = corpus.table(spark, d, "documents").select("doc_id", F.expr(_TREE).alias("path"))
+    return visible(paths, spark.createDataFrame([(f, n, line) for n, (f, line) in enumerate(_IGNORES)], "folder string, place int, line string"))
+
+
 @query("prj_excerpt", "SELECT doc_id, array_to_string(string_split(rtrim(text, chr(10)), chr(10))[1:30], chr(10)) AS excerpt FROM documents")
 def prj_excerpt(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
@@ -701,6 +714,14 @@ def stream_tumbling(spark, d):
     return streaming.stream_to_table(counts, name, f"{shared_dir(spark)}/{name}")
 
 
+@query("stream_tumbling_append", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)")
+def stream_tumbling_append(spark, d):
+    """The windows that the watermark has closed, each written once."""
+    place = f"{shared_dir(spark)}/tumbling-{uuid.uuid4().hex}"
+    streaming.append_to_table(streaming.tumbling_counts(streaming.event_stream(spark, d)), f"{place}/out", f"{place}/checkpoint")
+    return spark.read.parquet(f"{place}/out")
+
+
 #: Events as observations of files, in four parts of eight days; of twenty one comes a part later, of seven one says that
 #: the file is gone. What came when a day older than the newest before counts nowhere, what isn't yet a day old waits.
 _OBSERVED = """seen AS (SELECT 'user' || user_id || '/' || event_type AS path, floor(value) % 3 AS mtime, (event_id % 3)::BIGINT AS size, event_id % 7 = 0 AS gone, date_trunc('millisecond', ts) AS said,

@@ -23,6 +23,12 @@ def stream_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "
     return stream.sparkSession.table(name)
 
 
+def append_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Takes in what the stream holds and appends what is final to the Parquet table ``target``, each batch once: of windows
+    those that the watermark has passed. Called again, it goes on; no result passes through the driver."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def sync_stream(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Upserts each batch of file states (``path, mtime, size``) into the Parquet table at ``target``, which is written
     under a new number each time. A batch that is delivered again, after a failure, gives the same table."""
