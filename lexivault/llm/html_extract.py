@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 from ..runtime import ship
 from ._shared import beside
 
-#: A quote opens a value only after ``=``, and only where it closes before white space or the tag's end; a tag whose
+#: A comment may be empty or end with an exclamation mark, as browsers have it; to HTML a CDATA section is a declaration that
+#: ends at the next ``>``. A quote opens a value only after ``=``, and only where it closes before white space or the tag's end; a tag whose
 #: quotes don't match ends at the next ``>``.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>])|[^>])*+)(>|\Z)",
     re.S,
 )
@@ -56,6 +57,13 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 #: These mark them too, but not beside a word of the article: ``article-header``.
 WEAK_HINTS = frozenset("header footer masthead banner notice notices alert contentinfo".split())
 OF_ARTICLE = frozenset("article post entry story content".split())
+#: A name of several words tells what its last one says (``share-price``), unless that only says of what kind the part is.
+KINDS = frozenset("area articles banner bar block blocks body bottom box boxes btn button buttons card cards col column container content cta field footer form frame group header holder icon icons inner item items left link links list main module news outer panel panels posts region right row section sections site slot slots space stories strip tag text thread title top unit units widget widgets wrap wrapper zone".split())
+#: As the ``id`` of a section these are places that links lead to.
+PLACES = frozenset("discussion search login signup share sharing social related menu navigation promo subscribe recommended replies reply".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Classes of articles that aren't ``article`` elements.
+POSTED = frozenset("article post entry story hentry".split())
 #: Beside one of these a hint tells of the page's layout, not of the element: ``has-sidebar``.
 NO_HINT = frozenset("has with no without".split())
 #: Elements made for prose, and those of them that keep their links anywhere.
@@ -82,13 +90,16 @@ HALF, HINTED, NAMED, SHARE = 80, 1000.0, 2.0, 0.2
 
 class Node:
     """An element: ``number`` in page order, ``last`` the largest number within it, ``path`` the number of its tag path,
-    ``out`` if its text is never an article's, ``inside`` an ``article`` or ``main``, ``level`` the hints around it."""
+    ``out`` if its text is never an article's, ``inside`` an ``article`` or ``main``, ``level`` the hints around it, ``prose`` the
+    nearest element made for prose from itself on up, ``posted`` if it or one around it is an article by its class."""
 
-    __slots__ = ("number", "last", "name", "parent", "path", "hint", "out", "inside", "level")
+    __slots__ = ("number", "last", "name", "parent", "path", "hint", "out", "inside", "level", "prose", "posted")
 
     def __init__(self, number: int, name: str, parent: Node | None, path: int, hint: bool, out: bool, inside: bool):
         self.number, self.name, self.parent, self.path, self.hint, self.out, self.inside = number, name, parent, path, hint, out, inside
         self.last, self.level = number, 0
+        self.prose: Node | None = self if name in PROSE else parent and parent.prose
+        self.posted = parent is not None and parent.posted
 
     def holds(self, other: Node) -> bool:
         return self.number <= other.number <= self.last
@@ -188,7 +199,8 @@ def blocks(page: str) -> list[Block]:
                     else:
                         muted.append(name)
                 elif name in muted:
-                    del muted[len(muted) - 1 - muted[::-1].index(name) :]
+                    while muted.pop() != name:
+                        pass
                 if not muted:
                     muted_in = None
             if not muted and not closing and attributes and _hinted(attributes):
@@ -211,9 +223,10 @@ def blocks(page: str) -> list[Block]:
             if name in VOID or attributes.endswith("/") and name not in ("p", "div"):
                 continue
             around = stack[-1]
-            out = around.out or bool(muted) or name in NEVER and not (name == "header" and around.inside)
-            hint = name == "form" or name not in ("html", "body") and bool(attributes) and _hinted(attributes)
+            out = around.out or bool(muted) or name in NEVER and not (name == "header" and (around.inside or around.posted))
+            hint = name == "form" or name not in ("html", "body") and bool(attributes) and _hinted(attributes, name)
             node = Node(len(nodes), name, around, paths.setdefault((around.path, name), len(paths) + 1), hint, out, around.inside or name in ("article", "main"))
+            node.posted |= bool(attributes) and name in ("div", "section") and not hint and _posted(attributes)
             nodes.append(node)
             stack.append(node)
             open_names[name] += 1
@@ -254,18 +267,30 @@ def _levels(nodes: list[Node], found: list[Block]) -> None:
         n.level = n.parent.level + (n.hint and not (titled[n.number] and 2 * text[n.number] > text[0]))
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str, name: str = "") -> bool:
+    """Whether an element's class, id or role says that it isn't of the article. Ids of headings, and some of sections, are
+    places that links lead to and say nothing."""
     for key, value in _ATTRIBUTE.findall(attributes):
         key = key.lower()
-        if key in ("class", "id", "role"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if NO_HINT.isdisjoint(parts) and not (HINTS.isdisjoint(parts) and (WEAK_HINTS.isdisjoint(parts) or not OF_ARTICLE.isdisjoint(parts))):
-                return True
+        if key in ("class", "id", "role") and not (key == "id" and name in HEADINGS):
+            tokens = [[p.lower() for p in _PART.findall(token) if not p.isdigit()] for token in value.strip("\"'").split()]
+            of_article = any(not OF_ARTICLE.isdisjoint(parts) for parts in tokens)
+            for parts in tokens:
+                hints = HINTS - PLACES if key == "id" and name == "section" else HINTS
+                if parts and NO_HINT.isdisjoint(parts):
+                    weak = WEAK_HINTS if not of_article else frozenset()
+                    if (parts[-1] in hints or parts[-1] in weak) or parts[-1] in KINDS and not (hints.isdisjoint(parts) and weak.isdisjoint(parts)):
+                        return True
         if key == "hidden":
             return True
     return False
 
 
+def _posted(attributes: str) -> bool:
+    """Whether an element's class says that it is an article."""
+    return any(key.lower() == "class" and any({p.lower() for p in _PART.findall(token)} <= POSTED for token in value.strip("\"'").split()) for key, value in _ATTRIBUTE.findall(attributes))
+
+
 def ratios(found: list[Block]) -> list[float]:
     """The fused tag-path ratio of each block."""
     keys = [(b.node.path, b.node.level) for b in found]
@@ -332,11 +357,7 @@ def content(found: list[Block]) -> list[Block]:
 
 def _prose_around(node: Node, container: Node) -> bool:
     """Whether an element made for prose stands between a block and the container: a ``div`` in a list entry."""
-    while node is not container:
-        if node.name in PROSE:
-            return True
-        node = node.parent
-    return False
+    return node.prose is not None and node.prose is not container and container.holds(node.prose)
 
 
 def main_text(page: str | None) -> str:

@@ -206,3 +206,50 @@ def test_article_tags_renamed_give_the_same_text(spark):
         total += 1
         same += H.main_text(h) == H.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>"))
     assert same >= 0.97 * total
+
+
+PROSE_TEXT = "A long paragraph of the article, with marks, that goes on for a while. It has a second sentence too, so that nobody takes it for a menu."
+
+
+@pytest.mark.parametrize("junk", ["<!-->", "<!--->", "<!-- x --!>", "<!--a--><!-->", "<![CDATA[ x >", "<!doctype x>", "<?php x ?>"])
+def test_comments_end(junk):
+    """What ends at once for browsers doesn't swallow the page."""
+    page = f"<body><article><h1>Title</h1><p>{PROSE_TEXT}</p>{junk}<p>{PROSE_TEXT} More.</p></article></body>"
+    assert H.main_text(page) == f"Title {PROSE_TEXT} {PROSE_TEXT} More."
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<section id='discussion'>{}</section>", "<section id='related-work'>{}</section>", "<section id='search'>{}</section>", "<h2 class='share-price'>{}</h2>", "<h2 id='login'>{}</h2>", "<p class='search-results-explained'>{}</p>", "<ul class='menu-of-the-day'><li>{}</li></ul>", "<div class='has-sidebar'><p>{}</p></div>"],
+)
+def test_words_of_names(part):
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{PROSE_TEXT}</p>{part.format('<p>' + PROSE_TEXT + '</p>' if 'section' in part else PROSE_TEXT)}<p>{PROSE_TEXT}</p></article></body>"
+    assert H.main_text(page) == f"Title {PROSE_TEXT} {PROSE_TEXT} {PROSE_TEXT}"
+
+
+@pytest.mark.parametrize("name", ["class=comments", "id=comments", "class='comment-list'", "class=share-buttons", "class='ad slot'", "class=ad-slot-3", "class=siteNav", "id=sidebar", "class='related-posts'", "role=navigation", "class='cookie-banner'", "class='newsletter_form'", "id=disqus_thread", "class=adBox"])
+def test_names_of_other_parts(name):
+    page = f"<body><article><h1>Title</h1><p>{PROSE_TEXT}</p><div {name}><p>{PROSE_TEXT}</p></div><p>{PROSE_TEXT}</p></article></body>"
+    assert H.main_text(page) == f"Title {PROSE_TEXT} {PROSE_TEXT}"
+
+
+def test_header_of_a_post():
+    page = f"<body><header><p>{PROSE_TEXT}</p></header><div class=post><header><h1>Title</h1></header><p>{PROSE_TEXT}</p><p>{PROSE_TEXT}</p></div></body>"
+    assert H.main_text(page) == f"Title {PROSE_TEXT} {PROSE_TEXT}"
+
+
+@pytest.mark.parametrize("kind", ["divs", "lists", "hidden", "open"])
+def test_deep_pages(kind):
+    """Time in proportion to the page, however deep its elements lie."""
+    import time
+
+    n = 100_000
+    page = {
+        "divs": "<article>" + "<div>" * n + f"<p>{PROSE_TEXT}</p>" + "</div>" * n + "</article>",
+        "lists": "<article>" + f"<div>x<p>{PROSE_TEXT[:9]}</p>" * 20_000 + "</div>" * 20_000 + "</article>",
+        "hidden": f"<article><p>{PROSE_TEXT}</p><p><span class=ad>" + "<b><i>" * n + "x" + "</i></b>" * n + "</span></p></article>",
+        "open": "<article>" + f"<b><p>{PROSE_TEXT[:9]}" * 20_000 + "</article>",
+    }[kind]
+    began = time.process_time()
+    assert PROSE_TEXT[:9] in H.main_text(page)
+    assert time.process_time() - began < 12
