@@ -15,7 +15,7 @@ from .config import Config, find_config, load_config, write_skeleton
 from .errors import IndexError_, as_error
 from .functions.embedding import Backend, from_config, resolve_device
 from .functions.fts import QuerySyntaxError
-from .operators import catalog
+from .operators import catalog, lsi  # noqa: F401  lsi makes its backend known
 from .parsers.registry import LANGUAGES
 from .plans.build import build, sync
 from .plans.search import MODES, Filters, Searcher

@@ -18,6 +18,7 @@ from .operators.ivf import IvfIndex
 from .plans.search import Filters, Searcher
 from .plans.segments import SegmentStore
 from .runtime import shared_dir, stored
+from .operators.lsi import SvdBackend, SvdModel
 from .operators.trigrams import NameIndex
 from .sources import corpus
 from .sources.layout import Layout
@@ -277,6 +278,15 @@ def search_dense_index(spark, d):
     return _rounded(dense_index(spark, d).search(asked, BATCH_K, exact=True), "distance")
 
 
+@query("embed_svd", f"SELECT doc_id AS id, 32 AS dim, CASE WHEN len(list_filter(string_split_regex(strip_accents(lower(text[1:{T.CHAR_CAP}])), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
+def embed_svd(spark, d):
+    """Vectors of a model that is learned from the corpus: SQL can say their lengths only."""
+    docs = corpus.chunks(spark, d)
+    backend = SvdBackend(SvdModel.fit(docs, dim=32, passes=2))
+    squares = F.aggregate(F.transform(F.col("v").cast("array<double>"), lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
+    return docs.select("id", backend.column(F.col("content"), 64).alias("v")).select("id", F.size("v").alias("dim"), F.round(F.sqrt(squares), 3).alias("norm"))
+
+
 def _top(name: str, words: str, every: bool = False) -> None:
     asked = "SELECT 0 AS query, unnest([" + ", ".join(f"'{w}'" for w in words.lower().replace(" or ", " ").replace(" and ", " ").split()) + "]) AS term"
 
