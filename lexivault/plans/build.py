@@ -84,6 +84,18 @@ def _with_index(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return parts | {"postings": postings(parts["chunks"]), "stats": corpus_stats(parts["chunks"])}
 
 
+def _moved_index(old: Snapshot, new: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """Postings and statistics after a sync, at the cost of the texts that came and went: other chunks' rows are kept as they
+    are. ``new``: the chunks that came; ``gone``: paths whose chunks went."""
+    victims = stored(changes.victims(old.table("chunks"), gone), "victims")
+    kept = old.table("postings").join(victims.select("id"), "id", "left_anti")
+    came = stored(postings(new), "new-postings")
+    was, less, more = (df.withColumn("tokens", F.coalesce(F.round(F.col("n") * F.col("avgdl")), F.lit(0)).cast("long")).first() for df in (old.table("stats"), corpus_stats(victims), corpus_stats(new)))
+    n, tokens = was.n - less.n + more.n, was.tokens - less.tokens + more.tokens
+    stats = new.sparkSession.createDataFrame([(n, tokens / n if n else None)], "n long, avgdl double")
+    return {"postings": kept.select(*came.columns).unionByName(came), "stats": stats}
+
+
 def _meta(backend: Backend, next_id: int) -> dict[str, str]:
     return {"engine_version": __version__, "embed_model": backend.name, "embed_dim": str(backend.dim), "embed_device": backend.device, "next_id": str(next_id)}
 
@@ -125,7 +137,7 @@ def sync(store: IndexStore, tree: Tree, backend: Backend) -> SyncResult:
     new = tables(found, tree, backend, next_id)
     merged = _merge(old, new, gone)
     used = max((int(r.m or 0) for r in (new["chunks"].agg(F.max("id").alias("m")).first(), new["symbols"].agg(F.max("id").alias("m")).first())), default=0)
-    now = store.write(_with_index(merged), _meta(backend, max(next_id, used + 1)))
+    now = store.write(merged | _moved_index(old, new["chunks"], gone), _meta(backend, max(next_id, used + 1)))
     n = changes.counts(status).first()
     failed_new = sum(1 for p, s in fresh.items() if s == "added") - good.join(status.where("status = 'added'").select("path"), "path", "left_semi").count()
     return SyncResult(n.added - failed_new, n.changed - len(kept_back), n.unchanged + len(kept_back), n.removed, now.table("chunks").count(), time.monotonic() - began)

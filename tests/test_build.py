@@ -108,6 +108,27 @@ def test_a_file_that_fails_to_parse_keeps_its_rows(spark, project, tmp_path_fact
     assert store.open().table("chunks").first().content == "good"
 
 
+def test_sync_keeps_postings(spark, project):
+    """After syncs the stored postings and statistics are those of the chunks, though only changed texts were read."""
+    from lexivault.operators.lexical import corpus_stats, postings
+
+    store, backend = IndexStore(spark, project / "index"), HashBackend(8)
+    tree = Tree(project)
+    build(store, tree, backend)
+    for step in range(3):
+        (project / f"new{step}.py").write_text(f"def made_{step}():\n    return 'word{step} again'\n")
+        if step:
+            (project / f"new{step - 1}.py").unlink()
+        if step == 2:
+            (project / "new2.py").write_text("def other():\n    return 1\n\n\ndef more():\n    return 2\n")
+        sync(store, tree, backend)
+        now = store.open()
+        rows = lambda df: sorted(map(repr, (tuple(r) for r in df.select("term", "id", "dl", "content", "name", "scope").collect())))
+        assert rows(now.table("postings")) == rows(postings(now.table("chunks")))
+        a, b = now.table("stats").first(), corpus_stats(now.table("chunks")).first()
+        assert a.n == b.n and a.avgdl == pytest.approx(b.avgdl)
+
+
 def test_store_checks(spark, tmp_path):
     store = IndexStore(spark, tmp_path / "i")
     for name, text in (("1/_meta.json", '{"schema_version": "0"}'), ("_CURRENT", "1")):
