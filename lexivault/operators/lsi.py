@@ -36,23 +36,27 @@ def buckets_of(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.log1p(np.array([counts[b] for b in at.tolist()], dtype=np.float64))
 
 
-def _rows(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, buckets and weights of texts, rows at unit length."""
-    row, col, val = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-    for k, text in enumerate(texts):
-        at, w = buckets_of(text or "", len(idf))
-        w = w * idf[at]
-        norm = np.sqrt((w * w).sum())
-        row.append(np.full(len(at), k))
-        col.append(at)
-        val.append(w / norm if norm else w)
-    return np.concatenate(row), np.concatenate(col), np.concatenate(val)
+def _weighted(at: list[np.ndarray], w: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, buckets and weights of texts' buckets and logarithms, rows at unit length."""
+    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    col = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+    val = np.concatenate(w) * idf[col] if at else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, val * val, minlength=len(at)))
+    return row, col, val / np.where(norm > 0, norm, 1)[row]
+
+
+def _summed(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of ``rows`` by ``group``, of ``n``."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(group):
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.diff(group[order], prepend=-1))
+        out[group[order[start]]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
 
 
 def _times(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, x.shape[1]))
-    np.add.at(out, row, val[:, None] * x[col])
-    return out
+    return _summed(row, val[:, None] * x[col], n)
 
 
 @dataclass
@@ -71,14 +75,19 @@ class SvdModel:
         rows = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
         n = rows.count()
         kept = rows if n <= sample else rows.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-        given = stored(kept, "lsi-sample")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [buckets_of(t, buckets) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a, _ in made], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], names=["at", "w"])
+
+        given = stored(kept.mapInArrow(read, "at array<int>, w array<double>"), "lsi-sample")  # texts are read once
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count, total = np.zeros(buckets, dtype=np.int64), 0
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    count[buckets_of(t, buckets)[0]] += 1
-                    total += 1
+                count += np.bincount(batch.column(0).flatten().to_numpy(), minlength=buckets)
+                total += batch.num_rows
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(count[some], total))], names=["b", "n"])
 
@@ -111,8 +120,9 @@ class SvdModel:
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(x)
             for batch in batches:
-                row, col, val = _rows(batch.column(0).to_pylist(), idf)
-                np.add.at(out, col, val[:, None] * _times(row, col, val, batch.num_rows, x)[row])
+                at, w = ([v.values.to_numpy() for v in batch.column(c)] for c in (0, 1))
+                row, col, val = _weighted(at, w, idf)
+                out += _summed(col, val[:, None] * _times(row, col, val, batch.num_rows, x)[row], len(idf))
             parts = [out[k : k + step].tobytes() for k in range(0, len(idf), step)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["at", "z"])
 
@@ -143,7 +153,8 @@ class SvdBackend(Backend):
         self.name = name or f"svd:{self.dim}"
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = _times(*_rows(list(texts), self.model.idf), len(texts), self.model.vectors.astype(np.float64))
+        made = [buckets_of(t or "", len(self.model.idf)) for t in texts]
+        out = _times(*_weighted([a for a, _ in made], [w for _, w in made], self.model.idf), len(texts), self.model.vectors.astype(np.float64))
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
