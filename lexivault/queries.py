@@ -92,6 +92,20 @@ old AS (SELECT path, mtime, size FROM base WHERE id % 10 <> 0),
 new AS (SELECT path, mtime, size + CASE WHEN id % 10 = 2 THEN 1 ELSE 0 END AS size FROM base WHERE id % 10 <> 1)"""
 
 
+#: An index's tables of this session, by application, folder and name, and what they are sorted by.
+_INDEXED: dict[tuple[str, str, str], DataFrame] = {}
+_SORTED = {"chunks": "id", "vectors": "chunk_id", "symbols": "name", "edges": "dst_name", "page_chunks": "path"}
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``corpus`` as an index has it: in the shared folder and sorted, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INDEXED:
+        by = _SORTED[name]
+        _INDEXED[key] = stored(getattr(corpus, name)(spark, sf_dir).repartitionByRange(by).sortWithinPartitions(by), f"index-{name}")
+    return _INDEXED[key]
+
+
 #: Stored indexes of this session: application and folder to tables.
 _INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
 
@@ -100,7 +114,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """``chunks``, ``postings`` and ``stats`` of a corpus in the shared folder, built once a session as an index is."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        chunks = stored(corpus.chunks(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id"), "index-chunks")
+        chunks = indexed(spark, sf_dir, "chunks")
         places = stored(lexical.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "id"), "index-postings")
         _INDEXES[key] = chunks, places, stored(lexical.corpus_stats(chunks), "index-stats")
     return _INDEXES[key]
@@ -121,7 +135,8 @@ def stored_blocks(spark: SparkSession, sf_dir: str) -> BlockIndex:
 def _searcher(spark: SparkSession, sf_dir: str) -> Searcher:
     """Over the stored index."""
     chunks, places, stats = stored_index(spark, sf_dir)
-    return Searcher(chunks, corpus.vectors(spark, sf_dir), lambda _: corpus.query_vector(spark, sf_dir, VECTOR), places, stats)
+    vectors = indexed(spark, sf_dir, "vectors")
+    return Searcher(chunks, vectors, lambda _: list(vectors.where(F.col("chunk_id") == VECTOR).select("embedding").first()[0]), places, stats)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -465,7 +480,7 @@ def _symbol_sql(where: str) -> str:
 
 
 def _symbols(spark, d, *args, **more):
-    return catalog.symbols(corpus.symbols(spark, d), corpus.chunks(spark, d), *args, **more)
+    return catalog.symbols(indexed(spark, d, "symbols"), indexed(spark, d, "chunks"), *args, **more)
 
 
 @query("sym_defs_substr", _symbol_sql("s.kind = 'def' AND s.name LIKE '%Lic%'"))
@@ -498,7 +513,7 @@ def _edge_sql(where: str) -> str:
 
 
 def _callers(spark, d, *args, **more):
-    return catalog.callers(corpus.edges(spark, d), corpus.page_chunks(spark, d), *args, **more)
+    return catalog.callers(indexed(spark, d, "edges"), indexed(spark, d, "page_chunks"), *args, **more)
 
 
 @query("graph_callers_substr", _edge_sql("e.dst_name LIKE '%the%'"))
@@ -525,21 +540,21 @@ def _fifth(spark, d) -> str:
 
 @query("graph_deps", _DEPS)
 def graph_deps(spark, d):
-    return catalog.deps(corpus.edges(spark, d), corpus.page_chunks(spark, d), _fifth(spark, d))
+    return catalog.deps(indexed(spark, d, "edges"), indexed(spark, d, "page_chunks"), _fifth(spark, d))
 
 
 @query("graph_deps_lang", _DEPS + " AND c.language = 'en'")
 def graph_deps_lang(spark, d):
-    return catalog.deps(corpus.edges(spark, d), corpus.page_chunks(spark, d), _fifth(spark, d), language="en")
+    return catalog.deps(indexed(spark, d, "edges"), indexed(spark, d, "page_chunks"), _fifth(spark, d), language="en")
 
 
 def _slashed(spark, d) -> DataFrame:
-    return corpus.symbols(spark, d).withColumn("name", F.concat(F.lit("/"), "name"))
+    return indexed(spark, d, "symbols").withColumn("name", F.concat(F.lit("/"), "name"))
 
 
 @query("graph_unresolved", f"WITH {EDGES}, {SYMBOLS} SELECT src_chunk_id, dst_name, kind FROM edges WHERE dst_name NOT IN (SELECT '/' || name FROM symbols WHERE kind = 'def')")
 def graph_unresolved(spark, d):
-    return catalog.unresolved(corpus.edges(spark, d), _slashed(spark, d))
+    return catalog.unresolved(indexed(spark, d, "edges"), _slashed(spark, d))
 
 
 @query("graph_resolved", f"WITH {EDGES}, {SYMBOLS} SELECT c.path, c.scope, c.language, c.start_line, e.kind, e.dst_name, e.dst_name IN (SELECT '/' || name FROM symbols WHERE kind = 'def') AS resolved FROM edges e JOIN page_chunks c ON c.id = e.src_chunk_id WHERE e.dst_name LIKE '%The%'")
@@ -557,7 +572,7 @@ def name_index(spark: SparkSession, sf_dir: str, kind: str) -> NameIndex:
     """Over symbols' names or edges' targets, made once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _NAMES:
-        _NAMES[key] = NameIndex.of(corpus.symbols(spark, sf_dir)) if kind == "symbols" else NameIndex.of(corpus.edges(spark, sf_dir), "dst_name")
+        _NAMES[key] = NameIndex.of(indexed(spark, sf_dir, "symbols")) if kind == "symbols" else NameIndex.of(indexed(spark, sf_dir, "edges"), "dst_name")
     return _NAMES[key]
 
 
@@ -574,7 +589,7 @@ _by_names("sym_names_short", "Of", "ref")
 
 @query("graph_names_substr", _edge_sql("e.dst_name LIKE '%the%'"))
 def graph_names_substr(spark, d):
-    return catalog.callers(corpus.edges(spark, d), corpus.page_chunks(spark, d), "the", names=name_index(spark, d, "edges"))
+    return catalog.callers(indexed(spark, d, "edges"), indexed(spark, d, "page_chunks"), "the", names=name_index(spark, d, "edges"))
 
 
 #: A directed graph with many cycles: each line's part leads to that of the next line of its order.
@@ -591,8 +606,8 @@ def graph_closure(spark, d):
 
 @query("graph_depth2", f"WITH RECURSIVE {_LINKS}, walk AS (SELECT (SELECT min(scope) FROM page_chunks) AS node, 0 AS depth UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN links l ON l.src = w.node WHERE w.depth < 2) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node")
 def graph_depth2(spark, d):
-    pages = corpus.page_chunks(spark, d)
-    out = corpus.edges(spark, d).join(pages.select(F.col("id").alias("src_chunk_id"), "scope"), "src_chunk_id").select(F.col("scope").alias("src"), F.col("dst_name").alias("dst"))
+    pages = indexed(spark, d, "page_chunks")
+    out = indexed(spark, d, "edges").join(pages.select(F.col("id").alias("src_chunk_id"), "scope"), "src_chunk_id").select(F.col("scope").alias("src"), F.col("dst_name").alias("dst"))
     links = out.union(out.select("dst", "src")).distinct()
     return catalog.reachable(links, pages.agg(F.min("scope").alias("node")), 2)
 
