@@ -13,6 +13,7 @@ from ..functions.text import excerpt, glob
 from ..operators.blocks import BlockIndex, plain_words, top_query
 from ..operators.dense import nearest
 from ..operators.fusion import fuse, fused_order, single_pool
+from ..operators.ivf import IvfIndex
 from ..operators.lexical import bm25, bm25_postings, rank_bm25
 
 MODES = ("hybrid", "bm25", "dense")
@@ -46,7 +47,8 @@ class Filters:
 @dataclass
 class Searcher:
     """``chunks`` and ``vectors`` (``chunk_id, embedding``) of an index; ``postings`` and ``stats`` where it has them, and
-    ``blocks``, by which unfiltered searches for words read the blocks only that can hold a result."""
+    ``blocks``, by which unfiltered searches for words read the blocks only that can hold a result. ``near``, an index of the
+    vectors of chunks, gives unfiltered searches by L2 distance what its cells hold: nearly all of the true pool."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -55,6 +57,7 @@ class Searcher:
     stats: DataFrame | None = None
     metric: str = "l2"
     blocks: BlockIndex | None = None
+    near: IvfIndex | None = None
 
     def lexical_pool(self, query: str, k: int, filters: Filters) -> DataFrame:
         where = filters.condition()
@@ -70,6 +73,9 @@ class Searcher:
         """``when``: whether filters apply before the nearest ``k`` are cut (``pre``) or to those only (``post``)."""
         vector = self.encode(query)
         where = filters.condition()
+        if self.near is not None and where is None and self.metric == "l2":
+            asked = self.near.blocks.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query long, embedding array<double>")
+            return self.near.search(asked, k).select("id", "distance", "rank")
         kept = self.vectors.join(self.chunks.select("id") if where is None else self.chunks.where(where).select("id"), self.vectors.chunk_id == F.col("id"), "left_semi")
         if when == "pre":
             return nearest(kept, vector, k, self.metric)

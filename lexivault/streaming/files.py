@@ -29,18 +29,22 @@ def append_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def sync_stream(stream: DataFrame, target: str, checkpoint: str) -> None:
+def sync_stream(stream: DataFrame, target: str, checkpoint: str) -> int | None:
     """Upserts each batch of file states (``path, mtime, size``) into the Parquet table at ``target``, which is written
-    under a new number each time. A batch that is delivered again, after a failure, gives the same table."""
+    under a new number each time; returns the last one, None if no batch came. A batch that is delivered again, after a
+    failure, gives the same table."""
     spark = stream.sparkSession
+    last: list[int] = []
 
     def one(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "size"), "mtime").alias("s")).select("path", "s.*")
         before = spark.read.parquet(f"{target}/{number - 1}") if number else spark.createDataFrame([], latest.schema)
         changes.upsert_files(before, latest).write.mode("overwrite").parquet(f"{target}/{number}")
+        last[:] = [number]
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return last[0] if last else None
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

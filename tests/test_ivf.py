@@ -84,3 +84,15 @@ def test_bounds(seed, n, size, k):
         true = np.sqrt(((x - q[j]) ** 2).sum(axis=1))
         assert (low <= true[some]).all() and (true[some] <= high).all()
         assert set(np.argsort(true, kind="stable")[:k][true[np.argsort(true, kind="stable")[:k]] < np.inf]) <= set(some) or np.sort(true[some])[: k].tolist() == np.sort(true)[:k].tolist()
+
+
+def test_searcher(spark, clustered):
+    """A searcher's dense pool by the index holds nearly all of the exact one, at the same distances."""
+    from lexivault.plans.search import Filters, Searcher
+
+    vectors = table(spark, clustered)
+    chunks = vectors.select(vectors.chunk_id.alias("id"))
+    plain = Searcher(chunks, vectors, lambda _: clustered[7][1])
+    fast = Searcher(chunks, vectors, lambda _: clustered[7][1], near=IvfIndex.build(vectors))
+    a, b = ({r.id: round(r.distance, 9) for r in s.dense_pool("x", 20, Filters()).collect()} for s in (plain, fast))
+    assert len(b) == 20 and len(a.items() & b.items()) >= 18
