@@ -40,9 +40,9 @@ LEAST_COUNTED = 128
 #: Tasks that the shards are dealt to at most; beyond that a task takes several, one after another.
 MOST_TASKS = 20_000
 K1, B = 1.2, 0.75
-#: Share of the documents, and documents at least, that the tree is grown on; documents of the sample in a leaf at most;
-#: dimensions of the projections and their step as bytes.
-SAMPLE, LEAST_SAMPLE, LEAF, DIMENSIONS, STEP = 0.01, 2000, 8, 64, 1 / 256
+#: Share of the documents, and documents at least and at most, that the tree is grown on, on the driver; documents of the
+#: sample in a leaf at most; dimensions of the projections and their step as bytes.
+SAMPLE, LEAST_SAMPLE, MOST_SAMPLE, LEAF, DIMENSIONS, STEP = 0.01, 2000, 500_000, 8, 64, 1 / 256
 #: Neighbours that are tried at a time, before one that doesn't fit whole is cut.
 NEIGHBOURS = 32
 #: Terms that this part of a shard's documents have are held as whole rows of impacts.
@@ -430,7 +430,7 @@ _TABLE = "doc_id long, key long, n long, ids binary, df binary, leaf long"
 def _grow(given: DataFrame, count: int, name: str) -> tuple[np.ndarray, float, Tree]:
     """The tree, and the statistics of its projections, by a sample that the rows' hashes choose."""
     t = tokenizer(name)
-    share = max(SAMPLE, min(1.0, LEAST_SAMPLE / max(1, count)))
+    share = min(max(SAMPLE, LEAST_SAMPLE / max(1, count)), MOST_SAMPLE / max(1, count), 1.0)
     some = given.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
     table = stored(some.mapInArrow(_tokenize(name), _TABLE), "packing-sample")
     tokens, docs, df = _statistics(table, t.size)
