@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexivault.operators import catalog
 from lexivault.operators.catalog import closure
 from lexivault.operators.trigrams import NameIndex, needed
 from lexivault.sources.layout import MODE, Layout
@@ -85,3 +86,14 @@ def test_replace(layout, spark):
     assert got == {(k, f"P{k}", "de") for k in range(0, 50, 3)} | {(k, f"p{k}", "en" if k % 3 == 1 else None) for k in range(200) if k % 3}
     assert {f for f in layout.chunks.where("language = 'en'").inputFiles()} == before
     assert spark.conf.get(MODE, "static").lower() == "static" and "Exchange" not in plan(layout.with_vectors("de"))
+
+
+def test_closure_walks_links_once_for_many_sources(spark, monkeypatch):
+    """600 sources on a ring with chords: rows of the walk are far fewer than pairs, and bits of every long tell."""
+    links = [(k, (k + 1) % 600) for k in range(600)] + [(k, (k * 7 + 3) % 600) for k in range(600)]
+    made, real = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda df, name: made.append((name, df)) or real(df, name))
+    got = closure(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(s,) for s in range(600)], "node long"))
+    assert got.count() == 600 * 600
+    assert {(x.source, x.node, x.depth) for x in got.where("source IN (0, 63, 64, 511, 512, 599)").collect()} == by_hand(links, [0, 63, 64, 511, 512, 599])
+    assert sum(df.count() for name, df in made if name == "closure") < 600 * 600 / 10
