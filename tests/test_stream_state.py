@@ -63,3 +63,35 @@ def test_batches_and_restarts(spark, tmp_path):
 @pytest.mark.parametrize(("before", "now", "expected"), [(None, (1.0, 2, False), "added"), (None, (0.0, 0, True), None), ((1.0, 2, False), (1.0, 2, False), None), ((1.0, 2, False), (1.0, 3, False), "changed"), ((1.0, 2, False), (0.0, 0, True), "removed"), ((0.0, 0, True), (0.0, 0, True), None), ((0.0, 0, True), (1.0, 2, False), "added")])
 def test_status(before, now, expected):
     assert status(before, now) == expected
+
+
+def test_a_failed_batch_is_written_once(spark, tmp_path, monkeypatch):
+    """A batch that has written its changes and then fails is taken in again, and its changes come once."""
+    source, out, kept = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    stream = lambda: spark.readStream.schema(KIND).parquet(source)
+    spark.createDataFrame(BATCHES[0], KIND).coalesce(1).write.parquet(source)
+    real, calls = state._steps, []
+
+    def failing(due):
+        calls.append(1)
+        if len(calls) == 1:
+            real(due).where("status IS NOT NULL").select("path", "status", "mtime", "size", F.timestamp_millis("at_ms").alias("at")).write.parquet(f"{kept}/changes/0")
+            raise RuntimeError("lost")
+        return real(due)
+
+    monkeypatch.setattr(state, "_steps", failing)
+    with pytest.raises(Exception, match="lost"):
+        state.follow(stream(), out, kept, "5 hours")
+    state.follow(stream(), out, kept, "5 hours")
+    assert sorted(tuple(r) for r in spark.read.schema(state.CHANGES).parquet(out).collect()) == by_hand(BATCHES[:1], 5)
+
+
+def test_no_state_store_for_each_path(spark, tmp_path, monkeypatch):
+    """``follow`` makes no call between Spark and Python for a path; a stream without a file gives nothing."""
+    source, out, kept = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    monkeypatch.setattr(state, "file_changes", lambda *a: pytest.fail("a store for each path"))
+    spark.createDataFrame([], KIND).write.parquet(source)
+    state.follow(spark.readStream.schema(KIND).parquet(source), out, kept, "5 hours")
+    spark.createDataFrame([("p%d" % (k % 500), 1.0, k // 500, False, at(k)) for k in range(2000)], KIND).write.mode("append").parquet(source)
+    state.follow(spark.readStream.schema(KIND).parquet(source), out, kept, "5 hours")
+    assert spark.read.parquet(out).count() == 1995
