@@ -128,3 +128,22 @@ def test_salted_join(spark):
     other = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "key string, v int")
     got = salted_join(rows, other, "key", most=100)
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.join(other, "key").collect())
+
+
+def test_blocks_of_texts(spark, corpus, monkeypatch):
+    """Made of texts, where no word is moved, they are the blocks of postings; ranges of ids stay whole in small runs."""
+    monkeypatch.setattr(blocks, "BYTES", 1000)
+    chunks, index = corpus
+    mean = index.stats.first().avgdl
+    made = blocks.gathered_texts(chunks.repartition(3), mean)
+    fields = lambda df: sorted((r.term, r.bucket, r.n, round(r.impact, 12), r.avgdl, r.ids, r.tfs, r.dls) for r in df.collect())
+    assert fields(made) == fields(index.blocks)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(span" in plan(made) and "Exchange hashpartitioning(term" not in plan(made)
+    assert "Exchange" not in plan(lexical.postings(spark.createDataFrame([(1, "a b a", None, "b")], "id long, content string, name string, scope string")))
+
+
+def test_postings_places(spark):
+    rows = [(7, "a b a", "b", None), (8, None, None, None), (9, "b", None, "a a")]
+    got = lexical.postings(spark.createDataFrame(rows, "id long, content string, name string, scope string").coalesce(1)).collect()
+    assert [tuple(r) for r in got] == [("a", 7, 4, [1, 3], [], []), ("a", 9, 3, [], [], [1, 2]), ("b", 7, 4, [2], [1], []), ("b", 9, 3, [1], [], [])]
