@@ -97,3 +97,31 @@ def test_closure_walks_links_once_for_many_sources(spark, monkeypatch):
     assert got.count() == 600 * 600
     assert {(x.source, x.node, x.depth) for x in got.where("source IN (0, 63, 64, 511, 512, 599)").collect()} == by_hand(links, [0, 63, 64, 511, 512, 599])
     assert sum(df.count() for name, df in made if name == "closure") < 600 * 600 / 10
+
+
+def test_look_ups_and_sinks_move_little(spark, monkeypatch):
+    """Look-ups of symbols read heads of chunks, without texts; a language's rows are dealt to several files."""
+    from lexivault import queries
+
+    assert "content" not in queries.indexed(spark, "/root/testdata/sf0.001", "chunk_heads").columns
+    found = queries.QUERIES["sym_defs_wild"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "/index-chunks-" in f]
+    made, real = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name: made.append(df) or real(df, name))
+    queries.QUERIES["sink_roundtrip"](spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(language" in plan(made[0]) and "xxhash64" in plan(made[0])
+    searcher = queries._searcher(spark, "/root/testdata/sf0.001", words=False)
+    assert searcher.postings is None and searcher.stats is None
+
+
+def test_sync_batches_of_several_files(spark, tmp_path):
+    """A batch of many files is one state; the next call goes on from its checkpoint."""
+    from lexivault.streaming.files import sync_stream
+
+    kind, place = "path string, mtime double, size long", str(tmp_path)
+    for n in range(2):
+        spark.range(100).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(float(n)).alias("mtime"), F.col("id").alias("size")).where(F.col("id") >= 50 * n).repartition(5).write.mode("append").parquet(f"{place}/in")
+        last = sync_stream(spark.readStream.schema(kind).parquet(f"{place}/in"), f"{place}/out", f"{place}/state")
+    assert last == 1
+    rows = spark.read.parquet(f"{place}/out/{last}").collect()
+    assert len(rows) == 100 and sorted(r.path for r in rows if r.mtime == 0.0) == sorted(f"p{k}" for k in range(50))
