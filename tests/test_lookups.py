@@ -7,11 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexivault.operators import catalog
+from lexivault.operators import catalog, reach as reaching
 from lexivault.operators.catalog import closure
+from lexivault.operators.reach import reach
 from lexivault.operators.trigrams import NameIndex, needed
 from lexivault.sources.layout import MODE, Layout
 from lexivault.functions.text import like_substring
+from lexivault.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +127,33 @@ def test_sync_batches_of_several_files(spark, tmp_path):
     assert last == 1
     rows = spark.read.parquet(f"{place}/out/{last}").collect()
     assert len(rows) == 100 and sorted(r.path for r in rows if r.mtime == 0.0) == sorted(f"p{k}" for k in range(50))
+
+
+#: Rings of 6 nodes: 0 leads to 10 and 20, and both to 30; 50 leads into 0 and 35 out to 60.
+RINGS = [(a + k, a + (k + 1) % 6) for a in (0, 10, 20, 30) for k in range(6)] + [(0, 10), (3, 20), (12, 30), (25, 31), (50, 2), (35, 60), (60, 61)]
+
+
+@pytest.mark.parametrize("kind", ["rings", "random", "path", "none"])
+def test_reach(spark, kind, monkeypatch):
+    """With every pass that there is: pairs are those of a search by hand, each once."""
+    r = random.Random(2)
+    links = {"rings": RINGS * 2, "random": [(r.randrange(60), r.randrange(60)) for _ in range(80)] + [(None, 1), (1, None), (4, 4)], "path": [(k, k + 1) for k in range(6)], "none": []}[kind]
+    sources = [50, 5, 2, 11, 24, 33, 34, 60, 99, 0, 0, None]
+    monkeypatch.setattr(reaching, "LONGS", 0)
+    got = reach(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(s,) for s in sources], "node long"))
+    assert sorted((x.source, x.node) for x in got.collect()) == sorted((s, n) for s, n, _ in by_hand([x for x in links if x[0] is not None], sources))
+
+
+def test_reach_splits_sources_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(reaching, "OWN", 4)
+    links = [(k, (k * 3 + j) % 24) for k in range(24) for j in (1, 2)] + [(7, 100), (100, 101), (101, 100)]
+    got = reach(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(s,) for s in range(103)], "node long"))
+    assert sorted((x.source, x.node) for x in got.collect()) == sorted((s, n) for s, n, _ in by_hand(links, range(103)))
+
+
+def test_graph_closure_walks_groups(spark, monkeypatch):
+    """Nodes that reach each other go as one: nearly all of 2,000 parts do, and the walk has few rows."""
+    made, real = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda df, name: made.append((name, df)) or real(df, name))
+    QUERIES["graph_closure"](spark, "/root/testdata/sf0.01")
+    assert 0 < sum(df.count() for name, df in made if name in ("closure", "reach")) < 200
